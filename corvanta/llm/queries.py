@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvanta.llm.mixing import mix_sources
+from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
 from corvanta.sources.tables import read_table
 
@@ -19,6 +20,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(read_table(spark, folder, "documents"), k=5, percent=80)
+
+
 def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
     packed = shard_groups(read_table(spark, folder, "documents"), shards=8)
     return packed.select(
@@ -28,5 +33,6 @@ def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op7_ngram_join": op7_ngram_join,
     "op10_shard_groups": op10_shard_groups,
 }
