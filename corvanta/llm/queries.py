@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
+from corvanta.llm.warczip import read_packages, write_packages
 from corvanta.sources.tables import read_table
+from corvanta.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,12 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(read_table(spark, folder, "documents"), k=5, percent=80)
 
 
+def op8_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    packages = write_packages(pages, Workspace(spark, "packages").path, package_bytes=32 << 20, digest_from=1000)
+    return read_packages(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
     packed = shard_groups(read_table(spark, folder, "documents"), shards=8)
     return packed.select(
@@ -34,5 +42,6 @@ def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op7_ngram_join": op7_ngram_join,
+    "op8_warc_packages": op8_warc_packages,
     "op10_shard_groups": op10_shard_groups,
 }

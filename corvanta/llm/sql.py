@@ -43,4 +43,18 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX}
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS digest FROM pages
+), r AS (
+  SELECT *, count(*) OVER (PARTITION BY digest) AS n, max(page_id) OVER (PARTITION BY digest) AS last FROM p
+), m AS (
+  SELECT *, size >= 1000 AND n > 1 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM r
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last END AS refers_to
+FROM m
+"""
+
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX, "op8_warc_packages": WARC}
