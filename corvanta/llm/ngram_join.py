@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvanta.llm.components import connected_components
-from corvanta.llm.signature_tree import LANES, bitmap, needed, spanning_links, with_partner
+from corvanta.llm.signature_tree import WIDE, bitmap, needed, spanning_links, with_partner
 from corvanta.llm.tokens import ascii_words, mixed, shingles, utf8_texts, word_hashes
 from corvanta.workspace import Workspace
 
@@ -179,12 +179,16 @@ def _meetings(percent: int):
 
 
 def _pruned(percent: int):
-    """Keep the (group, set) that a signature tree cannot rule out."""
+    """Keep the (group, set) that a signature tree cannot rule out.
+
+    With a column ``component``, only sets of another component count.
+    """
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_groups(batches, "grp"):
             sizes = np.asarray(table.column("n"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, LANES)
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)
+            component = np.asarray(table.column("component")) if "component" in table.column_names else None
             keep = np.zeros(len(sizes), dtype=bool)
             two = starts[ends - starts == 2]
             x, y = bits[two], bits[two + 1]
@@ -196,9 +200,13 @@ def _pruned(percent: int):
             keep[two + 1] = ok
             more = ends - starts > 2
             for s, t in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-                keep[s:t] = with_partner(sizes[s:t], bits[s:t], percent)
+                keep[s:t] = with_partner(sizes[s:t], bits[s:t], percent, None if component is None else component[s:t])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table.column(c))[keep]) for c in ("grp", "set")], ["grp", "set"])
+                # Groups with the same members become one: a group is named by its members.
+                members = np.asarray(table.column("set"))
+                name = np.add.reduceat(np.where(keep, mixed(members.view(np.uint64)), np.uint64(0)), starts)
+                name = np.repeat(mixed(name).view(np.int64), ends - starts)
+                yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(members[keep])], ["grp", "set"])
 
     return prune
 
@@ -207,13 +215,18 @@ def _sets_of(k: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, sizes, maps = [], [], [], []
             for identity, text in zip(batch.column("set").to_pylist(), utf8_texts(batch.column("text")), strict=True):
                 if identity not in seen:
                     seen.add(identity)
+                    tokens = token_set(text, k)
                     ids.append(identity)
-                    sets.append(token_set(text, k).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["set", "tokens"])
+                    sets.append(tokens.tobytes())
+                    sizes.append(len(tokens))
+                    maps.append(bitmap(tokens, WIDE).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["set", "tokens", "n", "bits"]
+            )
 
     return read
 
@@ -268,13 +281,13 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "
     marks = firsts.groupBy("set").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     candidates = meetings.join(marks, "set").select("grp", "set", "n", "bits")
     meetings = ws.save(
-        candidates.repartition("grp").sortWithinPartitions("grp").mapInArrow(_pruned(percent), "grp long, set long"), "candidates"
+        candidates.repartition("grp").sortWithinPartitions("grp").mapInArrow(_pruned(percent), "grp long, set long").distinct(), "candidates"
     )
     ws.drop("meetings")
     holders = known.groupBy("set").agg(F.min(F.struct("doc_id", "content")).alias("holder"))
     wanted = meetings.select("set").distinct().join(holders, "set")
     held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["holder.doc_id"]) & (texts["content"] == wanted["holder.content"]))
-    sets = ws.save(held.select("set", "text").mapInArrow(_sets_of(k), "set long, tokens binary"), "sets")
+    sets = ws.save(held.select("set", "text").mapInArrow(_sets_of(k), "set long, tokens binary, n long, bits binary"), "sets")
     first_round = meetings.groupBy("set").agg(F.min("grp").alias("grp")).select("grp", "set", F.col("set").alias("component"))
 
     def links_of(members: DataFrame) -> DataFrame:
@@ -286,8 +299,12 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "
     named = meetings.join(joined, meetings["set"] == joined["node"], "left").select("grp", "set", F.coalesce("component", "set").alias("component"))
     named = ws.save(named, "named")
     open_groups = named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("grp")
-    more = ws.save(links_of(named.join(open_groups, "grp")), "links-2")
-    ws.drop("sets", "named")
+    undecided = named.join(open_groups, "grp").join(sets.select("set", "n", "bits"), "set").select("grp", "set", "n", "bits", "component")
+    undecided = undecided.repartition("grp").sortWithinPartitions("grp").mapInArrow(_pruned(percent), "grp long, set long").distinct()
+    components = named.select("set", "component").distinct()
+    undecided = ws.save(undecided.join(components, "set").select("grp", "set", "component"), "undecided")
+    more = ws.save(links_of(undecided), "links-2")
+    ws.drop("sets", "named", "undecided")
     joined = connected_components(links.union(more))
     least = known.groupBy("set").agg(F.min("doc_id").alias("least"))
     classes = least.join(joined, least["set"] == joined["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))

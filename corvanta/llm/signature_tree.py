@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 
-#: 64-bit lanes of a bitmap.
+#: 64-bit lanes of a bitmap, and of one for the few sets that the first cannot rule out.
 LANES = 8
+WIDE = 64
 LEAF = 32
 FAN = 8
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """LANES * 64 bits, one set for each token."""
-    bits = (tokens % np.uint64(LANES * 64)).astype(np.int64)
-    flags = np.zeros(LANES * 64, dtype=np.uint8)
+def bitmap(tokens: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """``lanes`` * 64 bits, of which each token sets one."""
+    bits = (tokens % np.uint64(lanes * 64)).astype(np.int64)
+    flags = np.zeros(lanes * 64, dtype=np.uint8)
     flags[bits] = 1
     return np.packbits(flags).view(np.uint64)
 
@@ -103,15 +104,17 @@ class Forest:
         self.root[self.root == max(a, b)] = min(a, b)
 
 
-def with_partner(sizes: np.ndarray, bitmaps: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets have any other set that their bitmaps allow to link with."""
+def with_partner(sizes: np.ndarray, bitmaps: np.ndarray, percent: int, groups: np.ndarray | None = None) -> np.ndarray:
+    """Which sets have a set, of another group if groups are given, that their bitmaps allow to link with."""
     tree = SignatureTree(sizes, bitmaps)
+    own = np.arange(len(sizes)) if groups is None else groups[tree.order]
     found = np.zeros(len(sizes), dtype=bool)
     done = lambda s, t, u, v: found[s:t].all() and found[u:v].all()
     for a, b in tree.leaf_pairs(percent, done):
         i, j = tree.surviving(a, b, percent)
-        found[i] = True
-        found[j] = True
+        apart = own[i] != own[j]
+        found[i[apart]] = True
+        found[j[apart]] = True
     out = np.zeros(len(sizes), dtype=bool)
     out[tree.order] = found
     return out
