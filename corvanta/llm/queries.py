@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
+from corvanta.llm.toxicity import is_held_out, labelled, score_toxicity, train
 from corvanta.llm.warczip import read_packages, write_packages
 from corvanta.sources.tables import read_table
 from corvanta.workspace import Workspace
@@ -17,6 +18,24 @@ from corvanta.workspace import Workspace
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: A document is predicted toxic from this score on.
+TOXIC_FROM = 0.3
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    model = train(labelled(documents, read_table(spark, folder, "labels"), held_out=2))
+    scored = score_toxicity(documents, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        is_held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        (F.col("toxicity_score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        F.size("toxicity_sentences").cast("long").alias("n_sentences"),
+        F.get("toxicity_sentences", F.lit(0))["start"].alias("first_start"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, folder, "documents"), weights=(5, 2, 1), max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +59,7 @@ def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc_packages": op8_warc_packages,
