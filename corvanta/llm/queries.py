@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvanta.llm.decontam import find_overlaps
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
@@ -41,6 +42,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), least_words=13, percent=80)
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(read_table(spark, folder, "documents"), k=5, percent=80)
 
@@ -61,6 +66,7 @@ def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
+    "op4_decontamination": op4_decontamination,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc_packages": op8_warc_packages,
     "op10_shard_groups": op10_shard_groups,
