@@ -12,6 +12,7 @@ from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
 from corvanta.llm.toxicity import is_held_out, labelled, score_toxicity, train
+from corvanta.llm.vector_graph import near_vectors
 from corvanta.llm.warczip import read_packages, write_packages
 from corvanta.sources.tables import read_table
 from corvanta.workspace import Workspace
@@ -42,6 +43,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(read_table(spark, folder, "embeddings"), least=0.95)
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), least_words=13, percent=80)
 
@@ -66,6 +71,7 @@ def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
+    "op3_vector_graph": op3_vector_graph,
     "op4_decontamination": op4_decontamination,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc_packages": op8_warc_packages,
