@@ -15,15 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvanta.llm.components import connected_components
-from corvanta.llm.signature_tree import WIDE, bitmap, needed, spanning_links, with_partner
+from corvanta.llm.signature_tree import LANES, bitmap, folded, lanes_for, needed, spanning_links, with_partner, with_partner_sized
 from corvanta.llm.tokens import ascii_words, mixed, shingles, utf8_texts, word_hashes
 from corvanta.workspace import Workspace
 
 #: Rows of a shingle group that one tree holds; larger groups become pairs of blocks.
 BLOCK = 4096
+#: Ids of texts that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Rows (shingle, set) of one bucket, on average.
 BUCKET_ROWS = 1 << 18
 
@@ -45,7 +48,7 @@ def _described(k: int, percent: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, ids, prefixes, maps = [], [], [], []
+            sizes, ids, prefixes, shorts, longs = [], [], [], [], []
             for text in utf8_texts(batch.column("text")):
                 tokens = token_set(text, k)
                 n = len(tokens)
@@ -54,14 +57,17 @@ def _described(k: int, percent: int):
                 ids.append(identity)
                 if n == 0 or identity in seen:  # a set's shingles are needed once
                     prefixes.append(None)
-                    maps.append(None)
+                    shorts.append(None)
+                    longs.append(None)
                     continue
                 seen.add(identity)
                 prefixes.append(tokens[: n - -(-percent * n // 100) + 1].tobytes())
-                maps.append(bitmap(tokens).tobytes())
+                wide = bitmap(tokens, lanes_for(n))
+                shorts.append(folded(wide[None, :], LANES).tobytes())
+                longs.append(wide.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("content"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())],
-                ["content", "doc_id", "n", "set", "prefix", "bits"],
+                [batch.column("content"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(shorts, pa.binary()), pa.array(longs, pa.binary())],
+                ["content", "doc_id", "n", "set", "prefix", "bits", "wide"],
             )
 
     return describe
@@ -178,29 +184,33 @@ def _meetings(percent: int):
     return meet
 
 
-def _pruned(percent: int):
-    """Keep the (group, set) that a signature tree cannot rule out.
-
-    With a column ``component``, only sets of another component count.
-    """
+def _pruned(percent: int, sized: bool = False):
+    """Keep the (group, set) that a signature tree cannot rule out."""
+
+    def fits(sizes: np.ndarray, column: pa.ChunkedArray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(sizes), dtype=bool)
+        if sized:
+            for s, t in zip(starts.tolist(), ends.tolist(), strict=True):
+                bits = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in column.slice(s, t - s)]
+                keep[s:t] = with_partner_sized(sizes[s:t], bits, percent)
+            return keep
+        bits = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)
+        two = starts[ends - starts == 2]
+        x, y = bits[two], bits[two + 1]
+        least = needed(sizes[two] + sizes[two + 1], percent)
+        ok = (sizes[two] - np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64) >= least) & (
+            sizes[two + 1] - np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64) >= least
+        )
+        keep[two] = ok
+        keep[two + 1] = ok
+        more = ends - starts > 2
+        for s, t in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+            keep[s:t] = with_partner(sizes[s:t], bits[s:t], percent)
+        return keep
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_groups(batches, "grp"):
-            sizes = np.asarray(table.column("n"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)
-            component = np.asarray(table.column("component")) if "component" in table.column_names else None
-            keep = np.zeros(len(sizes), dtype=bool)
-            two = starts[ends - starts == 2]
-            x, y = bits[two], bits[two + 1]
-            least = needed(sizes[two] + sizes[two + 1], percent)
-            ok = (sizes[two] - np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64) >= least) & (
-                sizes[two + 1] - np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64) >= least
-            )
-            keep[two] = ok
-            keep[two + 1] = ok
-            more = ends - starts > 2
-            for s, t in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-                keep[s:t] = with_partner(sizes[s:t], bits[s:t], percent, None if component is None else component[s:t])
+            keep = fits(np.asarray(table.column("n")), table.column("bits"), starts, ends)
             if keep.any():
                 # Groups with the same members become one: a group is named by its members.
                 members = np.asarray(table.column("set"))
@@ -215,18 +225,13 @@ def _sets_of(k: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, sets, sizes, maps = [], [], [], []
+            ids, sets = [], []
             for identity, text in zip(batch.column("set").to_pylist(), utf8_texts(batch.column("text")), strict=True):
                 if identity not in seen:
                     seen.add(identity)
-                    tokens = token_set(text, k)
                     ids.append(identity)
-                    sets.append(tokens.tobytes())
-                    sizes.append(len(tokens))
-                    maps.append(bitmap(tokens, WIDE).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["set", "tokens", "n", "bits"]
-            )
+                    sets.append(token_set(text, k).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["set", "tokens"])
 
     return read
 
@@ -234,15 +239,12 @@ def _sets_of(k: int):
 def _linked(percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_groups(batches, "grp"):
-            ids, component = np.asarray(table.column("set")), np.asarray(table.column("component"))
-            tokens = table.column("tokens")
+            ids, tokens = np.asarray(table.column("set")), table.column("tokens")
             found = []
             more = ends - starts > 1
             for s, t in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-                if (component[s:t] == component[s]).all():
-                    continue
                 sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in tokens.slice(s, t - s)]
-                found += [(s + i, s + j) for i, j in spanning_links(sets, component[s:t], percent)]
+                found += [(s + i, s + j) for i, j in spanning_links(sets, percent)]
             if found:
                 at = np.array(found)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
@@ -250,6 +252,24 @@ def _linked(percent: int):
     return link
 
 
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Groups (grp, set) to verify: areas (area, set, n), or pairs of blocks of the larger ones.
+
+    A large area's sets are cut into blocks in order of size. Two blocks make a group
+    if their sizes let sets of both link.
+    """
+    sizes = members.groupBy("area").agg(F.count(F.lit(1)).alias("rows"))
+    rows = members.join(sizes, "area")
+    place = F.row_number().over(W.partitionBy("area").orderBy("n", "set")) - 1
+    large = rows.where(F.col("rows") > BLOCK).withColumn("block", F.floor(place / F.lit(BLOCK // 2)).cast("int"))
+    spans = large.groupBy("area", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = spans.alias("x"), spans.alias("y")
+    pairs = one.join(two, (F.col("x.area") == F.col("y.area")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= percent * F.col("y.low")))
+    pairs = pairs.select(F.col("x.area").alias("area"), F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.xxhash64("x.area", "x.block", "y.block").alias("grp"))
+    halves = pairs.select("area", F.col("i").alias("block"), "grp").union(pairs.where("i < j").select("area", F.col("j").alias("block"), "grp"))
+    return rows.where(F.col("rows") <= BLOCK).select(F.col("area").alias("grp"), "set").union(large.join(halves, ["area", "block"]).select("grp", "set"))
+
+
 def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Components of texts whose k-word shingle sets have a Jaccard of percent / 100 or more.
 
@@ -267,7 +287,7 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "
     ws = Workspace(spark, "ngram-join")
     texts = df.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("content"))
     described = ws.save(
-        texts.mapInArrow(_described(k, percent), "content long, doc_id long, n long, set long, prefix binary, bits binary"),
+        texts.mapInArrow(_described(k, percent), "content long, doc_id long, n long, set long, prefix binary, bits binary, wide binary"),
         "described",
     )
     known = described.where("set is not null")
@@ -278,34 +298,28 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "
     meetings = ws.save(
         dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(percent), "grp long, set long"), "meetings"
     )
-    marks = firsts.groupBy("set").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
-    candidates = meetings.join(marks, "set").select("grp", "set", "n", "bits")
-    meetings = ws.save(
-        candidates.repartition("grp").sortWithinPartitions("grp").mapInArrow(_pruned(percent), "grp long, set long").distinct(), "candidates"
-    )
-    ws.drop("meetings")
+    marks = firsts.groupBy("set").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"))
+
+    def pruned(members: DataFrame, bits: str, table: str) -> DataFrame:
+        rows = members.join(marks.select("set", "n", F.col(bits).alias("bits")), "set").select("grp", "set", "n", "bits")
+        rows = rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_pruned(percent, bits == "wide"), "grp long, set long")
+        return ws.save(rows.distinct(), table)
+
+    candidates = pruned(pruned(meetings, "bits", "candidates-1"), "wide", "candidates-2")
+    ws.drop("meetings", "candidates-1")
+    # Sets that may link, directly or through others, are verified together: each is sent once.
+    ties = candidates.groupBy("grp").agg(F.min("set").alias("least"))
+    areas = connected_components(candidates.join(ties, "grp").select(F.col("set").alias("a"), F.col("least").alias("b")))
+    members = ws.save(areas.join(marks.select("set", "n"), areas["node"] == marks["set"]).select(F.col("component").alias("area"), "set", "n"), "members")
     holders = known.groupBy("set").agg(F.min(F.struct("doc_id", "content")).alias("holder"))
-    wanted = meetings.select("set").distinct().join(holders, "set")
-    held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["holder.doc_id"]) & (texts["content"] == wanted["holder.content"]))
-    sets = ws.save(held.select("set", "text").mapInArrow(_sets_of(k), "set long, tokens binary, n long, bits binary"), "sets")
-    first_round = meetings.groupBy("set").agg(F.min("grp").alias("grp")).select("grp", "set", F.col("set").alias("component"))
-
-    def links_of(members: DataFrame) -> DataFrame:
-        rows = members.join(sets, "set").select("grp", "set", "component", "tokens")
-        return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_linked(percent), "a long, b long")
-
-    links = ws.save(links_of(first_round), "links-1")
+    wanted = ws.save(members.select("set").join(holders, "set").select("set", "holder.doc_id", "holder.content"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["content"] == wanted["content"]))
+    sets = held.select("set", "text").mapInArrow(_sets_of(k), "set long, tokens binary")
+    rows = _blocks(members, percent).join(sets, "set").select("grp", "set", "tokens")
+    links = ws.save(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_linked(percent), "a long, b long"), "links")
     joined = connected_components(links)
-    named = meetings.join(joined, meetings["set"] == joined["node"], "left").select("grp", "set", F.coalesce("component", "set").alias("component"))
-    named = ws.save(named, "named")
-    open_groups = named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("grp")
-    undecided = named.join(open_groups, "grp").join(sets.select("set", "n", "bits"), "set").select("grp", "set", "n", "bits", "component")
-    undecided = undecided.repartition("grp").sortWithinPartitions("grp").mapInArrow(_pruned(percent), "grp long, set long").distinct()
-    components = named.select("set", "component").distinct()
-    undecided = ws.save(undecided.join(components, "set").select("grp", "set", "component"), "undecided")
-    more = ws.save(links_of(undecided), "links-2")
-    ws.drop("sets", "named", "undecided")
-    joined = connected_components(links.union(more))
     least = known.groupBy("set").agg(F.min("doc_id").alias("least"))
     classes = least.join(joined, least["set"] == joined["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     names = ws.save(classes, "classes")

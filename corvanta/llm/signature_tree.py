@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: 64-bit lanes of a bitmap, and of one for the few sets that the first cannot rule out.
+#: 64-bit lanes of a short bitmap, and the fewest of one that grows with its set.
 LANES = 8
-WIDE = 64
 LEAF = 32
 FAN = 8
 
@@ -24,6 +23,16 @@ def bitmap(tokens: np.ndarray, lanes: int = LANES) -> np.ndarray:
     return np.packbits(flags).view(np.uint64)
 
 
+def lanes_for(size: int) -> int:
+    """Lanes of a bitmap that has at least a bit for each token: a power of two."""
+    return max(LANES, 1 << max(0, (size - 1) // 64).bit_length())
+
+
+def folded(bits: np.ndarray, lanes: int) -> np.ndarray:
+    """Bitmaps (rows of lanes) as they would be with fewer lanes."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, lanes), axis=1)
+
+
 def needed(total: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Least overlap of two sets with so many tokens in all: 100 i >= p (total - i)."""
     return -(-percent * total // (100 + percent))
@@ -104,33 +113,42 @@ class Forest:
         self.root[self.root == max(a, b)] = min(a, b)
 
 
-def with_partner(sizes: np.ndarray, bitmaps: np.ndarray, percent: int, groups: np.ndarray | None = None) -> np.ndarray:
-    """Which sets have a set, of another group if groups are given, that their bitmaps allow to link with."""
+def with_partner(sizes: np.ndarray, bitmaps: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have any other set that their bitmaps allow to link with."""
     tree = SignatureTree(sizes, bitmaps)
-    own = np.arange(len(sizes)) if groups is None else groups[tree.order]
     found = np.zeros(len(sizes), dtype=bool)
     done = lambda s, t, u, v: found[s:t].all() and found[u:v].all()
     for a, b in tree.leaf_pairs(percent, done):
         i, j = tree.surviving(a, b, percent)
-        apart = own[i] != own[j]
-        found[i[apart]] = True
-        found[j[apart]] = True
+        found[i] = True
+        found[j] = True
     out = np.zeros(len(sizes), dtype=bool)
     out[tree.order] = found
     return out
 
 
-def spanning_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def with_partner_sized(sizes: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> np.ndarray:
+    """As with_partner, for bitmaps whose lanes grow with their sets, compared at the shorter's lanes."""
+    lanes = np.array([len(b) for b in bitmaps])
+    found = np.zeros(len(sizes), dtype=bool)
+    for own in np.unique(lanes).tolist():
+        most = sizes[lanes == own].max()
+        at = np.flatnonzero((lanes == own) | ((lanes > own) & (percent * sizes <= 100 * most)))
+        if len(at) > 1:
+            bits = np.concatenate([folded(bitmaps[i][None, :], own) for i in at])
+            found[at] |= with_partner(sizes[at], bits, percent)
+    return found
+
+
+def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (i, j) with similarity >= percent / 100 that join all that links join.
 
-    ``sets`` are sorted arrays of distinct tokens; positions of equal ``groups`` are
-    already known to be connected. Pairs known to be connected are not verified.
+    ``sets`` are sorted arrays of distinct tokens. Pairs known to be connected are not
+    verified.
     """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     tree = SignatureTree(sizes, np.array([bitmap(s) for s in sets], dtype=np.uint64))
     forest = Forest(len(sets))
-    _, first, inverse = np.unique(groups[tree.order], return_index=True, return_inverse=True)
-    forest.root = first[inverse]
     root = forest.root
     order = tree.order
     same = lambda s, t, u, v: root[s] == root[u] and (root[s:t] == root[s]).all() and (root[u:v] == root[s]).all()
