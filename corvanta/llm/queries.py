@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvanta.llm.compact_windows import repeated_passages
 from corvanta.llm.decontam import find_overlaps
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
-from corvanta.llm.toxicity import is_held_out, labelled, score_toxicity, train
+from corvanta.llm.toxicity import is_held_out, score_toxicity, toxic_labels, train
 from corvanta.llm.vector_graph import near_vectors
 from corvanta.llm.warczip import read_packages, write_packages
 from corvanta.sources.tables import read_table
@@ -26,7 +27,7 @@ TOXIC_FROM = 0.3
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
-    model = train(labelled(documents, read_table(spark, folder, "labels"), held_out=2))
+    model = train(documents, toxic_labels(read_table(spark, folder, "labels"), held_out=2))
     scored = score_toxicity(documents, model, keep=["doc_id"])
     return scored.select(
         "doc_id",
@@ -51,6 +52,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), least_words=13, percent=80)
 
 
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(read_table(spark, folder, "documents"), least_words=50, percent=80)
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(read_table(spark, folder, "documents"), k=5, percent=80)
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_vector_graph": op3_vector_graph,
     "op4_decontamination": op4_decontamination,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc_packages": op8_warc_packages,
     "op10_shard_groups": op10_shard_groups,

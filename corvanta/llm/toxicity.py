@@ -137,26 +137,24 @@ def fit_bags(labels: np.ndarray, weights: np.ndarray, bares: np.ndarray, bags: l
     return w[:-1], float(w[-1])
 
 
-def train(examples: DataFrame, sample: int = 4000, vocabulary: int = 4096, seed: int = 1) -> Model:
-    """Fit a model on ``examples`` (id, text, label 0 or 1).
-
-    At most ``sample`` examples of each label are used, chosen by a hash of the id and
-    weighted back to the labels' shares; the bound covers training alone. Of their
-    words, the ``vocabulary`` that tell most of the label are kept. Null labels are
-    left out. If one label is missing, the model is constant: the share of label 1,
-    or 0 without any example.
+def train(documents: DataFrame, labels: DataFrame, sample: int = 4000, vocabulary: int = 4096, seed: int = 1) -> Model:
+    """Fit a model on ``documents`` (doc_id, text) with ``labels`` (id, label 0 or 1), one for an id.
+
+    At most ``sample`` labels of each kind are used, chosen by a hash of the id and
+    weighted back to the shares of all; the bound covers training alone. Of their
+    words, the ``vocabulary`` that tell most of the label are kept. If one label is
+    missing, the model is constant: the share of label 1, or 0 without any example.
     """
-    spark = examples.sparkSession
-    ws = Workspace(spark, "toxicity")
-    examples = examples.where(F.col("label").isin(0, 1))
-    key = random_key(F.col("id"), seed)
-    counts = {int(r["label"]): r["count"] for r in examples.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return Model({}, 0.0, float(next(iter(counts), 0)))
-    ids = examples.select("id", "label", key.alias("key"))
-    chosen = [ids.where(F.col("label") == k).orderBy("key", "id").limit(sample) for k in (0, 1)]
-    chosen = ws.save(chosen[0].union(chosen[1]).select("id").distinct(), "chosen")
-    rows = ws.save(examples.join(F.broadcast(chosen), "id").select("text", F.col("label").cast("long").alias("label")), "examples")
+    ws = Workspace(documents.sparkSession, "toxicity")
+    marks = ws.save(labels.select("id", F.col("label").cast("long").alias("label"), random_key(F.col("id"), seed).alias("key")), "marks")
+    counts = {int(r["label"]): r["count"] for r in marks.groupBy("label").count().collect()}
+    chosen = [marks.where(F.col("label") == k).orderBy("key", "id").limit(sample) for k in (0, 1)]
+    # At most 2 * sample ids.
+    chosen = F.broadcast(ws.save(chosen[0].union(chosen[1]).select("id", "label"), "chosen"))
+    rows = ws.save(documents.join(chosen, documents["doc_id"] == chosen["id"]).select("text", "label"), "examples")
+    if rows.select("label").distinct().count() < 2:
+        found = rows.agg(F.avg("label")).first()[0]
+        return Model({}, 0.0, float(found or 0.0))
     used = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     weight = {k: counts[k] / used[k] for k in counts}
     tallies = rows.mapInArrow(_term_labels, "term string, label long").groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
@@ -206,15 +204,13 @@ def score_toxicity(df: DataFrame, model: Model, keep: list[str], text: str = "te
     return rows.mapInArrow(_scorer(model, offending, prefix), f"{schema}, {added_schema}" if keep else added_schema)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, held_out: int | None = 2) -> DataFrame:
-    """Examples (id, text, label) of ``labels.toxic``, without rows whose crc32(doc_id) mod 4 is ``held_out``.
+def toxic_labels(labels: DataFrame, held_out: int | None = 2) -> DataFrame:
+    """(id, label) of ``labels`` (doc_id, toxic), without ids whose crc32 mod 4 is ``held_out``.
 
-    Several labels of a document count as their largest.
+    Null ids and labels are left out. Several labels of a document count as their largest.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label")).withColumnRenamed("doc_id", "id")
-    if held_out is not None:
-        marks = marks.where(~is_held_out(F.col("id"), held_out))
-    return documents.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("id")).select("id", "text", "label")
+    return marks if held_out is None else marks.where(~is_held_out(F.col("id"), held_out))
 
 
 def is_held_out(doc_id, remainder: int = 2):
