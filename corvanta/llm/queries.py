@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corvanta.llm.compact_windows import repeated_passages
 from corvanta.llm.decontam import find_overlaps
+from corvanta.llm.licenses import scan_licenses
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
+from corvanta.llm.secrets import invented_findings, scan_secrets, train_forest
 from corvanta.llm.sharding import shard_groups
 from corvanta.llm.toxicity import is_held_out, score_toxicity, toxic_labels, train
 from corvanta.llm.vector_graph import near_vectors
@@ -52,6 +54,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), least_words=13, percent=80)
 
 
+def op5_license_digests(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read_table(spark, folder, "documents"))
+
+
 def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(read_table(spark, folder, "documents"), least_words=50, percent=80)
 
@@ -66,6 +72,12 @@ def op8_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
     return read_packages(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    model = train_forest(invented_findings(spark))
+    found = scan_secrets(read_table(spark, folder, "documents"), model, path="source")
+    return found.select("doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("length"), "places", "score", "is_secret")
+
+
 def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:
     packed = shard_groups(read_table(spark, folder, "documents"), shards=8)
     return packed.select(
@@ -78,8 +90,10 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_vector_graph": op3_vector_graph,
     "op4_decontamination": op4_decontamination,
+    "op5_license_digests": op5_license_digests,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc_packages": op8_warc_packages,
+    "op9_secret_forest": op9_secret_forest,
     "op10_shard_groups": op10_shard_groups,
 }
