@@ -147,7 +147,8 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     verified.
     """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    tree = SignatureTree(sizes, np.array([bitmap(s) for s in sets], dtype=np.uint64))
+    lanes = min(64, lanes_for(int(np.quantile(sizes, 0.75))))
+    tree = SignatureTree(sizes, np.array([bitmap(s, lanes) for s in sets], dtype=np.uint64))
     forest = Forest(len(sets))
     root = forest.root
     order = tree.order
