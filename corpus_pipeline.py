@@ -1,8 +1,98 @@
-"""A corpus through five stages; each reads what the one before kept."""
+"""A corpus through five stages: toxicity, near duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage reads what the one before kept, written as Parquet. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corvanta.llm.columns import WORD
+from corvanta.llm.decontam import find_overlaps
+from corvanta.llm.mixing import mix_sources
+from corvanta.llm.ngram_join import ngram_components
+from corvanta.llm.sharding import shard_groups
+from corvanta.llm.toxicity import score_toxicity, toxic_labels, train
+from corvanta.sources.tables import read_table
+from corvanta.workspace import Workspace
+
+#: Documents that score this or more are rejected.
+TOXIC_FROM = 0.3
+SHARDS = 8
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the model rejects. Trained on all labels of ``docs``."""
+    model = train(docs, toxic_labels(read_table(spark, sf_dir, "labels"), held_out=None))
+    scored = score_toxicity(docs, model, keep=docs.columns)
+    return scored.where(F.col("toxicity_score") < TOXIC_FROM).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: that with its smallest doc_id.
+
+    Of rows that repeat this id, one stays; rows without an id stay if nothing with an
+    id is like them.
+    """
+    found = ngram_components(docs, k=5, percent=80)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    repeated = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    # Ids are distinct as a rule; only rows of repeated ids are compared with each other.
+    twice = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["again"]), "left_semi")
+    return rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["again"]), "left_anti").unionByName(_one_each(twice))
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """Rows of repeated ids, one for each id and text; null ids have one for each text."""
+    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).asc_nulls_last() for c in rows.columns if c not in ("doc_id", "text")])
+    return rows.withColumn("place_", F.row_number().over(order)).where("place_ = 1").drop("place_")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified overlap with the benchmark."""
+    hits = find_overlaps(docs, read_table(spark, sf_dir, "benchmark"), least_words=13, percent=80).select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken whole, and once more, cut, where a budget ends in it."""
+    taken = mix_sources(docs, weights=(5, 2, 1), max_epochs=3).where("taken > 0")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.max("cut").alias("cut"))
+    taken = taken.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "epochs", "cut")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["m_id"]) & docs["source"].eqNullSafe(taken["m_source"]))
+    copies = F.col("epochs") + (F.col("cut") > 0).cast("long")
+    each = joined.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
+    text = F.when(F.col("copy_") <= F.col("epochs"), F.col("text")).otherwise(cut)
+    return each.withColumn("text", text).withColumn("n_chars", F.when(F.col("copy_") <= F.col("epochs"), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot for each row of the mix."""
+    return shard_groups(docs, shards=SHARDS)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: The first and the last stage are no SQL: a trained model, and a sequential packing.
 ORACLE_SQL = None
 
 
-def run(spark, folder):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written and read again."""
+    ws = Workspace(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
