@@ -36,10 +36,18 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Bytes of the Arrow batches that Python workers get. Long texts fill Spark's default of
+#: 64 MB, of which a worker and its executor hold several at once.
+BATCH_BYTES = "16777216b"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Workspace:
     """A folder of Parquet tables for one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
+            spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/corvanta/{name}-{uuid.uuid4().hex[:12]}"
 
