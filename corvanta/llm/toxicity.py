@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -74,13 +75,22 @@ def score_text(text: str | None, model: Model) -> tuple[float, list[tuple[int, i
 
 
 def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, p, q): in how many texts with label 1, and with label 0, a term stands; several rows for a term."""
+    tallies: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def tallied() -> pa.RecordBatch:
+        terms = list(tallies[0] | tallies[1])
+        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([tallies[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "p", "q"])
+        for tally in tallies:
+            tally.clear()
+        return out
+
     for batch in batches:
-        terms, marks = [], []
         for text, label in zip(utf8_texts(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-            own = terms_of((text or b"").decode(errors="replace"))
-            terms += own
-            marks += [label] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(marks, pa.int64())], ["term", "label"])
+            tallies[label].update(terms_of((text or b"").decode(errors="replace")))
+            if len(tallies[0]) + len(tallies[1]) > 200_000:
+                yield tallied()
+    yield tallied()
 
 
 def _bags(numbers: dict[str, int]):
@@ -157,7 +167,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 4000, vocabular
         return Model({}, 0.0, float(found or 0.0))
     used = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     weight = {k: counts[k] / used[k] for k in counts}
-    tallies = rows.mapInArrow(_term_labels, "term string, label long").groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    tallies = rows.mapInArrow(_term_labels, "term string, p long, q long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     n1, n0 = float(used[1]), float(used[0])
     rate1, rate0 = (F.col("p") + 0.1) / (n1 + 0.2), (F.col("q") + 0.1) / (n0 + 0.2)
     tells = F.abs(F.col("p") / n1 - F.col("q") / n0) * F.abs(F.log(rate1 / rate0))
