@@ -168,7 +168,7 @@ def shard_groups(
     row. An empty table gives an empty result. Other columns are neither read nor
     returned.
     """
-    if (shards is None) == (capacity is None) or (shards or capacity) < 1:
+    if (shards is None) == (capacity is None) or (capacity if shards is None else shards) < 1:
         raise ValueError("give a positive number of shards or a positive capacity")
     spark = df.sparkSession
     ws = Workspace(spark, "sharding")

@@ -1,0 +1,39 @@
+from pyspark.sql import functions as F
+
+from corvanta.llm.licenses import TEXTS, canonical, canonical_words, known_texts, one_spelling, scan_licenses
+from corvanta.llm.secrets import find_candidates, invented_findings, scan_secrets, train_forest, with_features
+from tests.llm.corpus import SCHEMA, documents
+
+
+def test_whole_texts_and_lines(spark):
+    mit, bsd = TEXTS["MIT"][0], TEXTS["BSD-3-Clause"][0]
+    shouted = "Copyright (c) 2020 Someone\n(C) 2021 other\n\n" + mit.upper().replace("SUBLICENSE", "sublicence").replace(",", " ;") + "\n***\n"
+    rows = [
+        (1, shouted), (2, mit + " and one word"), (3, "text\nReleased under the MIT Licence.\nmore"), (4, bsd.replace("holder", "owner")),
+        (5, None), (6, ""), (7, "© 2020"), (8, mit[: len(mit) // 2]), (9, "  licensed under the Apache License, version 2.0 !!"), (9, "Released under the MIT License."),
+    ]
+    df = spark.createDataFrame([(i, t, "d", "l") for i, t in rows], "doc_id long, text string, digest string, license string")
+    got = sorted((r.doc_id, r.scope, r.line, r.license) for r in scan_licenses(df).collect())
+    assert got == [(1, "text", None, "MIT"), (3, "line", 1, "MIT"), (4, "text", None, "BSD-3-Clause"), (9, "line", 0, "Apache-2.0"), (9, "line", 0, "MIT")]
+    assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_canonical_forms_agree(spark):
+    texts = [t for each in TEXTS.values() for t in each] + ["Licence OWNER's (c) x", "a\ncopyright 2 z\ncopyright 3\nb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(one_spelling(canonical_words(F.col("t")))).collect()]
+    assert got == [canonical(t) for t in texts]
+    assert len({k[:2] for k in known_texts()}) == len(known_texts())
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    model = train_forest(invented_findings(spark, 3000))
+    held = model.transform(with_features(invented_findings(spark, 1500, seed=9)))
+    assert held.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
+    key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    rows = [(1, f'my token = "{key}" and {key}', "src"), (2, f"see commit {key} there", "src"), (3, None, None), (4, "", "x"), (5, 'api_key = "YOUR_API_KEY_EXAMPLE_1234567"', "docs")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows + [rows[0]]], "doc_id long, text string, source string, score int, features int")
+    got = sorted((r.doc_id, r.places, r.is_secret) for r in scan_secrets(df, model, path="source").collect())
+    assert got == [(1, 2, True), (1, 2, True), (2, 1, False), (5, 1, False)]
+    assert find_candidates(spark.createDataFrame(documents(n=10), SCHEMA)).count() == 0
+    assert scan_secrets(df.limit(0), model).count() == 0
