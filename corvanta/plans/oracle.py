@@ -87,7 +87,7 @@ _FUSED = """fscores AS (
   QUALIFY rank <= 5
 )"""
 _CONTEXT = f"""{_ASKED}, {_UNITS}, {_keyword(5)}, entries AS (
-  SELECT query_id, rank, '[' || rank || '] (doc: ' || unit_id || ', score: ' || printf('%.4f', round(score, 6)) || ')' || chr(10) || text AS entry
+  SELECT query_id, rank, '[' || rank || '] (doc: ' || unit_id || ', score: ' || CAST(CAST(CAST(round(score, 6) AS DECIMAL(18, 6)) AS DECIMAL(18, 4)) AS VARCHAR) || ')' || chr(10) || text AS entry
   FROM keyword JOIN units USING (unit_id)
 ), contexts AS (
   SELECT q.query_id, q.query, coalesce(string_agg(entry, chr(10) || chr(10) ORDER BY rank), '{NO_CONTEXT}') AS context
