@@ -30,6 +30,8 @@ OVERLAP = 3
 #: Edges that robust pruning keeps in a shard, from so many nearest candidates.
 DEGREE = 24
 POOL = 64
+#: Nearest neighbours of a row that get an edge back to it.
+BACK = 3
 #: Pruning drops a candidate that a kept one is nearer to, by this factor of distance.
 ALPHA = 1.2
 #: Best nodes that a greedy walk holds.
@@ -127,7 +129,30 @@ def shard_graph(x: np.ndarray) -> np.ndarray:
         near[np.arange(len(near)), np.arange(s, s + len(near))] = -np.inf
         top = np.argpartition(-near, width - 1, axis=1)[:, :width] if width < n else np.argsort(-near, axis=1)
         pools[s : s + 512] = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
-    return robust_prune(x, pools)
+    return with_back_edges(robust_prune(x, pools))
+
+
+def with_back_edges(kept: np.ndarray, nearest: int = BACK) -> np.ndarray:
+    """Edges with a way back from each of a row's ``nearest`` first neighbours, so that every row is reached.
+
+    A row that is near to many gets edges to the first DEGREE of them, these to the
+    next, and so on, so that no row has very many edges.
+    """
+    n = len(kept)
+    near = kept[:, :nearest]
+    row, hub = np.nonzero(near >= 0)[0], near[near >= 0]
+    order = np.argsort(hub, kind="stable")
+    row, hub = row[order], hub[order]
+    starts = np.searchsorted(hub, hub)
+    place = np.arange(len(hub)) - starts
+    parent = np.where(place < DEGREE, hub, row[starts + np.maximum(place // DEGREE - 1, 0)])
+    pairs = np.concatenate([np.nonzero(kept >= 0)[0] * n + kept[kept >= 0], parent * n + row])
+    pairs = np.unique(pairs[pairs // n != pairs % n])
+    start, end = pairs // n, pairs % n
+    counts = np.bincount(start, minlength=n)
+    out = np.full((n, counts.max(initial=1)), -1)
+    out[start, np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts)] = end
+    return out
 
 
 def range_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
