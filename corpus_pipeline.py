@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvanta.llm.columns import WORD
+from corvanta.llm.columns import WORD, fresh_name
 from corvanta.llm.decontam import find_overlaps
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
@@ -27,8 +27,11 @@ SHARDS = 8
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that the model rejects. Trained on all labels of ``docs``."""
     model = train(docs, toxic_labels(read_table(spark, sf_dir, "labels"), held_out=None))
-    scored = score_toxicity(docs, model, keep=docs.columns)
-    return scored.where(F.col("toxicity_score") < TOXIC_FROM).select(*docs.columns)
+    prefix = "toxicity"
+    while any(c.lower().startswith(prefix + "_") for c in docs.columns):
+        prefix += "_"
+    scored = score_toxicity(docs, model, keep=docs.columns, prefix=prefix)
+    return scored.where(F.col(f"{prefix}_score") < TOXIC_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def _one_each(rows: DataFrame) -> DataFrame:
     """Rows of repeated ids, one for each id and text; null ids have one for each text."""
     order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).asc_nulls_last() for c in rows.columns if c not in ("doc_id", "text")])
-    return rows.withColumn("place_", F.row_number().over(order)).where("place_ = 1").drop("place_")
+    place = fresh_name(rows.columns, "place")
+    return rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*rows.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,16 +64,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken whole, and once more, cut, where a budget ends in it."""
+    epochs, cut, copy, m_id, m_source = (fresh_name(docs.columns, n) for n in ("epochs", "cut", "copy", "m_id", "m_source"))
     taken = mix_sources(docs, weights=(5, 2, 1), max_epochs=3).where("taken > 0")
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.max("cut").alias("cut"))
-    taken = taken.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "epochs", "cut")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["m_id"]) & docs["source"].eqNullSafe(taken["m_source"]))
-    copies = F.col("epochs") + (F.col("cut") > 0).cast("long")
-    each = joined.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    taken = taken.groupBy(F.col("doc_id").alias(m_id), F.col("source").alias(m_source)).agg(F.max("epochs").alias(epochs), F.max("cut").alias(cut))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken[m_id]) & docs["source"].eqNullSafe(taken[m_source]))
+    each = joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(epochs) + (F.col(cut) > 0).cast("long"))))
+    whole = F.col(copy) <= F.col(epochs)
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
-    text = F.when(F.col("copy_") <= F.col("epochs"), F.col("text")).otherwise(cut)
-    return each.withColumn("text", text).withColumn("n_chars", F.when(F.col("copy_") <= F.col("epochs"), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    part = F.array_join(F.slice(words, F.lit(1), F.col(cut).cast("int")), "")
+    out = each.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

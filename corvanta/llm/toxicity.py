@@ -161,7 +161,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 4000, vocabular
     chosen = [marks.where(F.col("label") == k).orderBy("key", "id").limit(sample) for k in (0, 1)]
     # At most 2 * sample ids.
     chosen = F.broadcast(ws.save(chosen[0].union(chosen[1]).select("id", "label"), "chosen"))
-    rows = ws.save(documents.join(chosen, documents["doc_id"] == chosen["id"]).select("text", "label"), "examples")
+    texts = documents.select("doc_id", "text")
+    rows = ws.save(texts.join(chosen, texts["doc_id"] == chosen["id"]).select("text", "label"), "examples")
     if rows.select("label").distinct().count() < 2:
         found = rows.agg(F.avg("label")).first()[0]
         return Model({}, 0.0, float(found or 0.0))
