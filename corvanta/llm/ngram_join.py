@@ -25,8 +25,10 @@ from corvanta.workspace import Workspace
 
 #: Rows of a shingle group that one tree holds; larger groups become pairs of blocks.
 BLOCK = 4096
-#: Sets of an area that one tree holds; larger areas become pairs of blocks.
-AREA_BLOCK = 8192
+#: Shingles, and SET_WEIGHT for each set, of an area that one tree holds (8 bytes each); larger
+#: areas become pairs of blocks.
+AREA_WEIGHT = 12_000_000
+SET_WEIGHT = 64
 #: Ids of texts that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows (shingle, set) of one bucket, on average.
@@ -260,16 +262,17 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     A large area's sets are cut into blocks in order of size. Two blocks make a group
     if their sizes let sets of both link.
     """
-    sizes = members.groupBy("area").agg(F.count(F.lit(1)).alias("rows"))
+    weight = F.col("n") + SET_WEIGHT
+    sizes = members.groupBy("area").agg(F.sum(weight).alias("weight"))
     rows = members.join(sizes, "area")
-    place = F.row_number().over(W.partitionBy("area").orderBy("n", "set")) - 1
-    large = rows.where(F.col("rows") > AREA_BLOCK).withColumn("block", F.floor(place / F.lit(AREA_BLOCK // 2)).cast("int"))
+    before = F.coalesce(F.sum(weight).over(W.partitionBy("area").orderBy("n", "set").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = rows.where(F.col("weight") > AREA_WEIGHT).withColumn("block", F.floor(before / F.lit(AREA_WEIGHT // 2)).cast("int"))
     spans = large.groupBy("area", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = spans.alias("x"), spans.alias("y")
     pairs = one.join(two, (F.col("x.area") == F.col("y.area")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= percent * F.col("y.low")))
     pairs = pairs.select(F.col("x.area").alias("area"), F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.xxhash64("x.area", "x.block", "y.block").alias("grp"))
     halves = pairs.select("area", F.col("i").alias("block"), "grp").union(pairs.where("i < j").select("area", F.col("j").alias("block"), "grp"))
-    return rows.where(F.col("rows") <= AREA_BLOCK).select(F.col("area").alias("grp"), "set").union(large.join(halves, ["area", "block"]).select("grp", "set"))
+    return rows.where(F.col("weight") <= AREA_WEIGHT).select(F.col("area").alias("grp"), "set").union(large.join(halves, ["area", "block"]).select("grp", "set"))
 
 
 def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id") -> DataFrame:

@@ -34,7 +34,7 @@ def brute(rows):
 def test_like_brute_force(spark, monkeypatch, block):
     if block:  # hot groups and large areas become pairs of blocks
         monkeypatch.setattr("corvanta.llm.ngram_join.BLOCK", block)
-        monkeypatch.setattr("corvanta.llm.ngram_join.AREA_BLOCK", block)
+        monkeypatch.setattr("corvanta.llm.ngram_join.AREA_WEIGHT", 100 * block)
         monkeypatch.setattr("corvanta.llm.ngram_join.BROADCAST_ROWS", 0)
     rng = random.Random(5)
     rows = documents()
