@@ -27,6 +27,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Besides its words, a sentence has the beginnings of longer words, of so many letters.
 STEMS = (4, 5, 6, 7)
+#: Terms that a model may weigh for each example of the rarer label.
+TERMS_PER_LABEL = 12
 
 
 class Model(NamedTuple):
@@ -152,7 +154,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 4000, vocabular
 
     At most ``sample`` labels of each kind are used, chosen by a hash of the id and
     weighted back to the shares of all; the bound covers training alone. Of their
-    words, the ``vocabulary`` that tell most of the label are kept. If one label is
+    terms, those that tell most of the label are kept: at most ``vocabulary``, and
+    TERMS_PER_LABEL for each example of the rarer label. If one label is
     missing, the model is constant: the share of label 1, or 0 without any example.
     """
     ws = Workspace(documents.sparkSession, "toxicity")
@@ -172,7 +175,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 4000, vocabular
     n1, n0 = float(used[1]), float(used[0])
     rate1, rate0 = (F.col("p") + 0.1) / (n1 + 0.2), (F.col("q") + 0.1) / (n0 + 0.2)
     tells = F.abs(F.col("p") / n1 - F.col("q") / n0) * F.abs(F.log(rate1 / rate0))
-    words = [r["term"] for r in tallies.where("p + q >= 2").withColumn("tells", F.round(tells, 9)).orderBy(F.desc("tells"), "term").limit(vocabulary).select("term").collect()]
+    terms = min(vocabulary, max(64, TERMS_PER_LABEL * min(used.values())))
+    words = [r["term"] for r in tallies.where("p + q >= 2").withColumn("tells", F.round(tells, 9)).orderBy(F.desc("tells"), "term").limit(terms).select("term").collect()]
     numbers = {t: i for i, t in enumerate(words)}
     bags = rows.mapInArrow(_bags(numbers), "label long, bare long, bag binary").orderBy("label", "bare", "bag").toArrow()
     labels = np.asarray(bags.column("label"))
