@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Besides its words, a sentence has the beginnings of longer words, of so many letters.
 STEMS = (4, 5, 6, 7)
 #: Terms that a model may weigh for each example of the rarer label.
-TERMS_PER_LABEL = 12
+TERMS_PER_LABEL = 24
 
 
 class Model(NamedTuple):
