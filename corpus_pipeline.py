@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvanta.llm.columns import WORD, fresh_name
-from corvanta.llm.decontam import find_overlaps
+from corvanta.llm.decontam import remove_contaminated
 from corvanta.llm.mixing import mix_sources
 from corvanta.llm.ngram_join import ngram_components
 from corvanta.llm.sharding import shard_groups
@@ -58,8 +58,7 @@ def _one_each(rows: DataFrame) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified overlap with the benchmark."""
-    hits = find_overlaps(docs, read_table(spark, sf_dir, "benchmark"), least_words=13, percent=80).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
+    return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"), least_words=13, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

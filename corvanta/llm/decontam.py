@@ -201,11 +201,24 @@ def find_overlaps(
     return found
 
 
-def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` whose id has no overlap with the benchmark; all columns stay.
+def _cleaner(items: Items, least: int, percent: int, text: str):
+    short = bool((np.diff(items.starts) < SPAN).any())
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not overlaps(t, items, least, percent, short) for t in utf8_texts(batch.column(text))], pa.bool_()))
+
+    return clean
 
-    Rows with a null id are judged as one group: they go if any of them overlaps.
+
+def remove_contaminated(
+    df: DataFrame, benchmark: DataFrame, least_words: int = 13, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The rows of ``df`` without an overlap as ``find_overlaps`` has it; all columns stay.
+
+    Each row is judged by its own text, whatever its id, so nothing is shuffled. The
+    blocks of the benchmark follow each other in one pass.
     """
-    row_id = options.get("row_id", "doc_id")
-    hit = find_overlaps(df, benchmark, **options).select(F.col("doc_id").alias("hit_id")).distinct()
-    return df.join(hit, df[row_id].eqNullSafe(hit["hit_id"]), "left_anti")
+    for items in blocks_of(benchmark, item_id, item_text, block_words):
+        df = df.mapInArrow(_cleaner(items, least_words, percent, text), df.schema)
+    return df

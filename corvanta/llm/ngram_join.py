@@ -99,7 +99,7 @@ def _to_buckets(buckets: int):
                 rows["token"], rows["set"], rows["size"] = tokens, identity, n
                 held.append(rows)
                 count += len(rows)
-            if count > 2_000_000:
+            if count > 1_000_000:
                 yield packed()
                 held, count = [], 0
         if count:
