@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvanta.functions.scoring import rarity, term_weight
-from corvanta.functions.text import chunk_id, chunk_text, tokenize
+from corvanta.functions.text import TOKEN, chunk_id, chunk_text, tokenize
+from corvanta.workspace import small_enough
 
 
 def chunk_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,18 +24,31 @@ def tokenized(units: DataFrame, unit_id: str, text: str) -> DataFrame:
 def postings(units: DataFrame, unit_id: str = "chunk_id", text: str = "chunk_text", terms: DataFrame | None = None) -> DataFrame:
     """(term, unit_id, tf): how often each unit has each term.
 
-    With ``terms`` (term), only those; they are dropped from the tokens before
-    anything is shuffled.
+    With ``terms`` (term), only those: the others are dropped before anything is
+    shuffled, if the terms are few enough to be sent to all tasks.
     """
     words = tokenized(units, unit_id, text).select("unit_id", F.explode("tokens").alias("term"))
     if terms is not None:
-        words = words.join(F.broadcast(terms.select("term").distinct()), "term")
+        wanted = terms.select("term").distinct()
+        words = words.join(F.broadcast(wanted) if small_enough(wanted) else wanted, "term")
     return words.groupBy("term", "unit_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_size(units: DataFrame, unit_id: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
-    """One row (n_units): the units that have a token."""
-    return tokenized(units, unit_id, text).agg(F.count(F.lit(1)).alias("n_units"))
+    """One row (n_units): the units that have a token. A text is read up to its first one."""
+    return units.select(F.lower(F.col(text)).rlike(TOKEN).alias("has")).agg(F.count_if("has").alias("n_units"))
+
+
+def write_index(units: DataFrame, path: str, unit_id: str = "chunk_id", text: str = "chunk_text") -> None:
+    """Keep the postings under ``path``, sorted by term so that a search reads few row groups, and the corpus size."""
+    found = postings(units, unit_id, text)
+    found.repartitionByRange("term").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
+    corpus_size(units, unit_id, text).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and the corpus size that ``write_index`` keeps."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus")
 
 
 def term_statistics(index: DataFrame, size: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def small_enough(df: DataFrame, rows: int = 500_000) -> bool:
+    """Whether a table has at most so many rows, by counting no further."""
+    return df.limit(rows + 1).count() <= rows
+
+
 #: Bytes of the Arrow batches that Python workers get. Long texts fill Spark's default of
 #: 64 MB, of which a worker and its executor hold several at once.
 BATCH_BYTES = "16777216b"

@@ -94,6 +94,16 @@ def test_index(spark, units):
     assert index.corpus_size(units).first()[0] == 4
 
 
+def test_kept_index(spark, units, tmp_path):
+    index.write_index(units, str(tmp_path))
+    kept, size = index.read_index(spark, str(tmp_path))
+    queries = spark.createDataFrame([(0, "cats milk nothing"), (1, "dogs"), (2, "!")], "query_id long, query string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in df.collect())
+    found = search.search_index(kept, size, queries, 3)
+    assert rows(found) == rows(search.keyword_search(units, queries, 3))
+    assert "PushedFilters: [In(term" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_answers(spark, units):
     hits = spark.createDataFrame([(0, 1, "a", 0.5), (0, 2, "zz", 0.25)], "query_id long, rank long, unit_id string, score double")
     queries = spark.createDataFrame([(0, "why?"), (1, "what?")], "query_id long, query string")
