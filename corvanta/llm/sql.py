@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corvanta.llm.licenses import COPYRIGHT_LINE, NOT_WORD, SPELLINGS, known_texts
+
 MIX = r"""
 WITH rows AS (
   SELECT doc_id, source,
@@ -57,4 +59,43 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX, "op8_warc_packages": WARC}
+NGRAM = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
+), each AS (SELECT doc_id, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other
+)
+SELECT s.doc_id, s.n AS n_shingles, r.component_id FROM sizes s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+
+def _licenses() -> str:
+    known = ", ".join(f"('{digest}', '{scope}', '{license_}')" for digest, scope, license_, _ in known_texts())
+    spelled = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS.items())
+    words = lambda x: f"trim(regexp_replace({x}, '{NOT_WORD}', ' ', 'g'))"
+    kept = "regexp_replace(lower(text), '" + COPYRIGHT_LINE + "', '\\1', 'g')"
+    return f"""
+WITH known(digest, scope, license) AS (VALUES {known}
+), lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), units AS (
+  SELECT doc_id, 'text' AS scope, CAST(NULL AS BIGINT) AS line, {words(kept)} AS w FROM documents
+  UNION ALL SELECT doc_id, 'line', line, {words('lower(t)')} FROM lines
+), digests AS (
+  SELECT doc_id, scope, line, sha256(array_to_string(list_transform(string_split(w, ' '), lambda x: CASE x {spelled} ELSE x END), ' ')) AS digest
+  FROM units WHERE w <> ''
+)
+SELECT doc_id, scope, line, license, digest FROM digests JOIN known USING (digest, scope)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX, "op5_license_digests": _licenses(), "op7_ngram_join": NGRAM, "op8_warc_packages": WARC}
