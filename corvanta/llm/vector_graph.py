@@ -36,8 +36,14 @@ BACK = 3
 ALPHA = 1.2
 #: Best nodes that a greedy walk holds.
 BEAM = 32
-#: Vectors that centroids are fitted on, for each centroid; and queries of the audit.
+#: Vectors that centroids are fitted on: so many for each centroid, and in all. Every vector is indexed.
 FIT_PER_CENTROID = 32
+FIT_ROWS = 65_536
+#: Centroids at most; beyond SHARD times as many vectors, shards grow.
+CENTROIDS = 8192
+#: Rows above which a shard finds its nearest candidates in overlapping cells of its own.
+LOCAL = 4096
+#: Queries of the audit.
 AUDIT = 200
 
 
@@ -97,16 +103,16 @@ class Router:
 
 
 def robust_prune(x: np.ndarray, pools: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Neighbours kept of each row's pool, padded with -1. ``pools``: nearest first, without the row itself."""
+    """Neighbours kept of each row's pool, nearest first; both are padded with -1."""
     n, width = pools.shape
     kept = np.full((n, degree), -1)
     for s in range(0, n, 256):
         pool = pools[s : s + 256]
         near = x[pool]  # rows, pool, dimensions
-        to_row = 1 - np.einsum("npd,nd->np", near, x[s : s + len(pool)])
+        to_row = np.where(pool >= 0, 1 - np.einsum("npd,nd->np", near, x[s : s + len(pool)]), np.inf)
         alive = pool >= 0
         for j in range(degree):
-            first = alive.argmax(axis=1)
+            first = np.where(alive, to_row, np.inf).argmin(axis=1)
             rows = np.flatnonzero(alive.any(axis=1))
             if not len(rows):
                 break
@@ -119,16 +125,41 @@ def robust_prune(x: np.ndarray, pools: np.ndarray, degree: int = DEGREE, alpha:
     return kept
 
 
+def nearest_pools(x: np.ndarray, rows: np.ndarray, among: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` nearest of rows ``among`` for each of ``rows``, nearest first, without the row itself; padded with -1."""
+    out = np.full((len(rows), width), -1)
+    take = min(width, len(among) - 1)
+    if take < 1:
+        return out
+    for s in range(0, len(rows), 512):
+        own = rows[s : s + 512]
+        near = x[own] @ x[among].T
+        near[own[:, None] == among[None, :]] = -np.inf
+        top = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
+        out[s : s + 512, :take] = among[np.take_along_axis(top, order, axis=1)]
+    return out
+
+
 def shard_graph(x: np.ndarray) -> np.ndarray:
-    """The robust-pruned neighbours of each row among all rows."""
+    """The edges of each row: its robust-pruned neighbours, and the ways back to it.
+
+    Candidates are the nearest among all rows; in a shard of more than LOCAL rows,
+    among those of its two nearest cells.
+    """
     n = len(x)
-    width = min(POOL, n - 1)
-    pools = np.empty((n, width), dtype=np.int64)
-    for s in range(0, n, 512):
-        near = x[s : s + 512] @ x.T
-        near[np.arange(len(near)), np.arange(s, s + len(near))] = -np.inf
-        top = np.argpartition(-near, width - 1, axis=1)[:, :width] if width < n else np.argsort(-near, axis=1)
-        pools[s : s + 512] = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+    rows = np.arange(n)
+    if n <= LOCAL:
+        return with_back_edges(robust_prune(x, nearest_pools(x, rows, rows, min(POOL, n - 1))))
+    cells = n // SHARD + 1
+    fit = x[np.random.default_rng(n).permutation(n)[: cells * FIT_PER_CENTROID]]
+    near = Router(fit_centroids(fit, cells)).nearest(x, 2)
+    pools = np.full((n, 2 * POOL), -1)
+    for cell in range(near.max() + 1):
+        among = np.flatnonzero((near == cell).any(axis=1))
+        for slot in range(near.shape[1]):
+            own = np.flatnonzero(near[:, slot] == cell)
+            pools[own, slot * POOL : (slot + 1) * POOL] = nearest_pools(x, own, among, POOL)
     return with_back_edges(robust_prune(x, pools))
 
 
@@ -165,8 +196,9 @@ def range_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: f
     n = len(x)
     medoid = int((x @ x.mean(axis=0)).argmax())
     found_q, found_r = [], []
-    for s in range(0, len(queries), 256):
-        own = queries[s : s + 256]
+    block = max(8, min(256, (1 << 25) // n))
+    for s in range(0, len(queries), block):
+        own = queries[s : s + block]
         q = x[own]
         m = len(own)
         rows = np.arange(m)
@@ -320,8 +352,8 @@ def near_vectors(df: DataFrame, least: float = 0.95, vec_id: str = "vec_id", vec
 
     if n == 0:
         return alone(None)
-    k = -(-n // SHARD)
-    sample = nodes.select("node", "unit", random_key(F.col("node"), 5).alias("key")).orderBy("key", "node").limit(k * FIT_PER_CENTROID)
+    k = min(-(-n // SHARD), CENTROIDS)
+    sample = nodes.select("node", "unit", random_key(F.col("node"), 5).alias("key")).orderBy("key", "node").limit(min(k * FIT_PER_CENTROID, FIT_ROWS))
     centroids = fit_centroids(_matrix(sample.toArrow().column("unit").to_pylist()), k)
     audited = nodes.select("node", "unit", random_key(F.col("node"), 6).alias("key")).orderBy("key", "node").limit(AUDIT).toArrow()
     queries, ids = _matrix(audited.column("unit").to_pylist()), np.asarray(audited.column("node"))

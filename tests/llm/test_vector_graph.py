@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corvanta.llm.vector_graph import Router, near_vectors, range_search, robust_prune, shard_graph
 from tests.llm.test_components import brute as components_of
@@ -37,7 +38,10 @@ def test_like_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_graph_reaches_what_brute_force_finds():
+@pytest.mark.parametrize("local", [4096, 200])
+def test_graph_reaches_what_brute_force_finds(monkeypatch, local):
+    monkeypatch.setattr("corvanta.llm.vector_graph.LOCAL", local)  # with cells of its own
+    monkeypatch.setattr("corvanta.llm.vector_graph.SHARD", 150)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(500, 12))
     x[100:160] = x[0] + rng.normal(size=(60, 12)) * 0.1
