@@ -47,6 +47,20 @@ BATCH_BYTES = "16777216b"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables of all workspaces that this driver has made. Results that read them must be written before."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Workspace:
     """A folder of Parquet tables for one run of one operator."""
 
@@ -55,6 +69,7 @@ class Workspace:
             spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/corvanta/{name}-{uuid.uuid4().hex[:12]}"
+        _MADE.append(self.path)
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` as a table and return the table, with the same schema."""
@@ -64,8 +79,5 @@ class Workspace:
 
     def drop(self, *tables: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.path}/{table}")
