@@ -127,6 +127,49 @@ def replay_cache(access: DataFrame, capacity: int, ttl: float | None, predictive
     return ordered_fold(events, "node", ["micros", "seq"], lambda: BoundedCache(capacity, predictive), step, REPLAY)
 
 
+LOG = "node string, seq long, op string, key string, value string, hit boolean, removed string, size long, hits long, misses long, evictions long"
+
+
+class _Shard:
+    """A bounded cache with counts of hits and misses since it was last cleared."""
+
+    def __init__(self, capacity: int, predictive: bool):
+        self.cache, self.hits, self.misses = BoundedCache(capacity, predictive), 0, 0
+
+
+def replay_log(log: DataFrame, capacity: int, default_ttl: float | None, predictive: bool = True) -> DataFrame:
+    """Replay of operations ``log`` (node, seq, ts, op, key, value, ttl), a bounded cache for each node.
+
+    get returns the value, and counts a hit, or a miss if there is none, it is null or
+    has expired. put stores a value, with ``default_ttl`` where ttl is null. delete
+    drops a key. clear drops all and the counts of hits and misses; those of evictions
+    stay. Returns what each did, with the node's counts after it; ``removed`` is the key
+    that was evicted or deleted. Other operations raise ValueError in their task.
+    """
+    BoundedCache(capacity)
+
+    def step(shard: _Shard, row) -> tuple:
+        cache, now, value, hit, removed = shard.cache, row.micros / 1e6, None, None, None
+        if row.op == "get":
+            value = cache.get(row.key, now)
+            hit = value is not None
+            shard.hits += hit
+            shard.misses += not hit
+        elif row.op == "put":
+            removed = cache.put(row.key, row.value, now, default_ttl if row.ttl is None or row.ttl != row.ttl else row.ttl)
+        elif row.op == "delete":
+            removed = row.key if cache.delete(row.key) else None
+        elif row.op == "clear":
+            cache.clear()
+            shard.hits = shard.misses = 0
+        else:
+            raise ValueError(f"no such operation: {row.op}")
+        return row.node, row.seq, row.op, row.key, value, hit, removed, len(cache.entries), shard.hits, shard.misses, cache.evictions
+
+    events = log.select("node", "seq", "op", "key", "value", F.col("ttl").cast("double").alias("ttl"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    return ordered_fold(events, "node", ["micros", "seq"], lambda: _Shard(capacity, predictive), step, LOG)
+
+
 def cache_stats(replay: DataFrame) -> DataFrame:
     """One row of a replay's hits, misses and hit rate."""
     hits, misses = F.count_if("hit"), F.count_if(~F.col("hit"))

@@ -205,6 +205,15 @@ def lru_shard_stats(spark, folder):
     return cache.shard_stats(lru_cache_replay(spark, folder))
 
 
+@query
+def cache_log_replay(spark, folder):
+    events = read_table(spark, folder, "events")
+    op = F.when(F.col("event_type") == "purchase", "put").when(F.col("event_type") == "error", "delete").otherwise("get")
+    # The user is the key, so that one kind of event gets what another puts.
+    log = events.select(F.col("event_id").alias("seq"), "ts", op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), F.lit(None).cast("double").alias("ttl"))
+    return cache.replay_log(ring.route(log, ring.build_ring(spark, NODES)), capacity=16, default_ttl=TTL)
+
+
 def _entries(spark, folder):
     return fixtures.vectors(spark, folder).select(F.col("unit_id").alias("seq"), F.col("unit_id").alias("entry_id"), F.concat(F.lit("entry "), F.col("unit_id").cast("string")).alias("key"), "vector")
 

@@ -135,6 +135,25 @@ def test_replays(spark):
     assert cache.recency(df).orderBy("recency").first().last_seq == 399
 
 
+def test_log(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [
+        ("n", 1, at(0), "get", "a", None, None), ("n", 2, at(1), "put", "a", "x", None), ("n", 3, at(2), "get", "a", None, None), ("n", 4, at(12), "get", "a", None, None),
+        ("n", 5, at(13), "put", "b", None, 0.0), ("n", 6, at(14), "get", "b", None, None), ("n", 7, at(15), "put", "c", "y", -1.0), ("n", 8, at(16), "put", "d", "z", None),
+        ("n", 9, at(999), "get", "c", None, None), ("n", 10, at(1000), "delete", "c", None, None), ("n", 11, at(1001), "delete", "c", None, None), ("n", 12, at(1002), "clear", None, None, None),
+        ("m", 13, at(0), "put", "a", "1", None), ("m", 14, at(1), "put", "a", "2", None), ("m", 15, at(2), "get", "a", None, None),
+    ]
+    df = spark.createDataFrame(rows, "node string, seq long, ts timestamp, op string, key string, value string, ttl double")
+    got = {r.seq: r for r in cache.replay_log(df.repartition(3), 2, 10.0).collect()}
+    assert [got[i].hit for i in (1, 3, 4, 6, 9, 15)] == [False, True, False, False, True, True]
+    assert got[3].value == "x" and got[9].value == "y" and got[15].value == "2"
+    assert got[8].removed == "b" and got[8].size == 2 and got[10].removed == "c" and got[11].removed is None
+    assert (got[11].hits, got[11].misses, got[11].evictions) == (2, 3, 1)
+    assert (got[12].hits, got[12].misses, got[12].evictions, got[12].size) == (0, 0, 1, 0)
+    with pytest.raises(Exception, match="no such operation"):
+        cache.replay_log(df.withColumn("op", F.lit("peek")), 2, None).collect()
+
+
 def test_semantic(spark):
     entries = [(1, "a", "ka", [1.0, 0.0]), (2, "b", "kb", [1.0, 0.0]), (3, "c", "kc", [0.0, 0.0]), (4, "d", "kd", [0.6, 0.8])]
     e = spark.createDataFrame(entries, "seq long, entry_id string, key string, vector array<double>")
