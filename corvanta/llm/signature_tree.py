@@ -13,6 +13,9 @@ import numpy as np
 LANES = 8
 LEAF = 32
 FAN = 8
+#: Pairs of two leaves above which their overlaps are computed at once, if they have so few tokens.
+MANY = 32
+MATRIX_TOKENS = 150_000
 
 
 def bitmap(tokens: np.ndarray, lanes: int = LANES) -> np.ndarray:
@@ -157,7 +160,18 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     for a, b in tree.leaf_pairs(percent, same):
         i, j = tree.surviving(a, b, percent)
         apart = root[i] != root[j]
-        for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+        i, j = i[apart], j[apart]
+        if len(i) > MANY:
+            ok = overlap_matrix([sets[k] for k in order[slice(*tree.span(0, a))]], [sets[k] for k in order[slice(*tree.span(0, b))]])
+            if ok is not None:
+                shared = ok[i - tree.span(0, a)[0], j - tree.span(0, b)[0]]
+                linked = shared >= needed(tree.sizes[i] + tree.sizes[j], percent)
+                for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+                    if root[x] != root[y]:
+                        forest.join(x, y)
+                        links.append((int(order[x]), int(order[y])))
+                continue
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if root[x] == root[y]:
                 continue
             p, q = sets[order[x]], sets[order[y]]
@@ -168,3 +182,16 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
                 forest.join(x, y)
                 links.append((int(order[x]), int(order[y])))
     return links
+
+
+def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray | None:
+    """Sizes of the overlaps of all sets of two leaves, as one product; None if it would take too much memory."""
+    if sum(map(len, left)) + sum(map(len, right)) > MATRIX_TOKENS:
+        return None
+    every = np.unique(np.concatenate(left + right))
+    sides = []
+    for own in (left, right):
+        flags = np.zeros((len(own), len(every)), dtype=np.float32)
+        flags[np.repeat(np.arange(len(own)), [len(s) for s in own]), np.searchsorted(every, np.concatenate(own))] = 1
+        sides.append(flags)
+    return (sides[0] @ sides[1].T).astype(np.int64)

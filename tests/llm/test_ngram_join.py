@@ -53,7 +53,9 @@ def test_empty_table(spark):
     assert out.columns == ["doc_id", "n_shingles", "component_id"] and out.count() == 0
 
 
-def test_tree_prunes_nothing_that_links():
+@pytest.mark.parametrize("many", [0, 1 << 30])
+def test_tree_prunes_nothing_that_links(monkeypatch, many):
+    monkeypatch.setattr("corvanta.llm.signature_tree.MANY", many)
     rng = np.random.default_rng(2)
     sets = []
     for _ in range(40):
