@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from corvanta.llm.tokens import mixed, utf8_texts, window_hashes, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
-#: Masks of 12 words. Each leaves out three neighbours, so that any single substitution
-#: in 12 words, or up to three close together, leaves one mask whole.
+#: Masks of 12 words that leave out three neighbours, so that any single substitution in 12
+#: words, or up to three close together, leaves one mask whole; and two of 7 words in 9 and
+#: 10, for substitutions that are dense and scattered.
 SPAN = 12
-MASKS = tuple(tuple(i for i in range(SPAN) if not gap <= i < gap + 3) for gap in (0, 3, 6, 9))
+MASKS = (*(tuple(i for i in range(SPAN) if not gap <= i < gap + 3) for gap in (0, 3, 6, 9)), (0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 4, 5, 8, 9))
 #: For items shorter than a mask: their first words, without a gap.
 SHORT = 5
 #: Words of benchmark items that one pass over the texts looks for.
