@@ -13,7 +13,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvanta.workspace import Workspace
 
 # Words that license texts spell in two ways, and the spelling kept.
 SPELLINGS = {
@@ -35,7 +34,6 @@ SPELLINGS = {
     "judgement": "judgment",
     "fulfil": "fulfill",
     "programme": "program",
-    "noncommercial": "noncommercial",
     "wilful": "willful",
     "owner": "holder",
     "owners": "holders",
