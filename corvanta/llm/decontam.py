@@ -92,14 +92,21 @@ def best_stretch(same: np.ndarray, percent: int) -> tuple[int, int, int]:
     """Start, end and matches of the stretch with most matches of which ``percent`` match.
 
     Each match adds what each mismatch takes ``percent`` / (100 - percent) times, so
-    that a stretch of positive sum has the share; it begins and ends with a match.
+    that a stretch has the share if its sum is not negative. From each start, the
+    farthest such end has most matches. Of equal ones the shortest, then the first; it
+    begins and ends with a match. At least one place of ``same`` is true.
     """
     gain = np.where(same, 100 - percent, -percent).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(gain)))
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total[1:] - lowest[:-1])) + 1
-    start = int(np.flatnonzero(total[: end] == lowest[end - 1])[-1])
-    return start, end, int(same[start:end].sum())
+    count = np.concatenate(([0], np.cumsum(same)))
+    places = np.flatnonzero(same)
+    # The highest sum from each end on falls, so the farthest end is found by bisection.
+    highest = np.maximum.accumulate(total[::-1])[::-1]
+    ends = np.searchsorted(-highest, -total[places], "right") - 1
+    matches = count[ends] - count[places]
+    lengths = places[count[ends] - 1] + 1 - places
+    at = np.lexsort((lengths, -matches))[0]
+    return int(places[at]), int(places[at] + lengths[at]), int(matches[at])
 
 
 def overlaps(text: bytes | None, items: Items, least: int, percent: int, short: bool) -> list[tuple[int, int, int, int, int]]:

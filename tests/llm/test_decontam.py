@@ -1,7 +1,9 @@
 import random
 import re
 
-from corvanta.llm.decontam import find_overlaps, remove_contaminated
+import numpy as np
+
+from corvanta.llm.decontam import best_stretch, find_overlaps, remove_contaminated
 from tests.llm.corpus import SCHEMA, documents, words
 
 
@@ -61,3 +63,27 @@ def test_removal_and_empty(spark):
     hit = {r.doc_id for r in find_overlaps(df, bench).collect()}
     assert hit and left == {r[0] for r in rows} - hit and remove_contaminated(df, bench).columns == df.columns
     assert find_overlaps(df, bench.limit(0)).count() == 0 and find_overlaps(df.limit(0), bench).count() == 0
+
+
+def test_stretch_has_most_matches():
+    rng = random.Random(5)
+    for n in (1, 5, 12, 25, 40):
+        for _ in range(60):
+            same = np.array([rng.random() < 0.7 for _ in range(n)])
+            same[rng.randrange(n)] = True
+            s, e, matches = best_stretch(same, 80)
+            valid = [(int(same[i:j].sum()), i - j) for i in range(n) for j in range(i + 1, n + 1) if 100 * same[i:j].sum() >= 80 * (j - i)]
+            assert (matches, s - e) == max(valid) and same[s] and same[e - 1] and same[s:e].sum() == matches
+
+
+def test_longer_stretches_of_smaller_sum(spark):
+    kept = {0: [(0, 12), (15, 27)], 1: [(0, 12), (13, 17)], 2: [(0, 2), (3, 14)], 3: [(0, 11), (12, 14)]}
+    items = {i: words(random.Random(40 + i), own[-1][1], 5000) for i, own in kept.items()}
+    rows = []
+    for i, own in kept.items():
+        rows.append((i, " ".join(["before"] + [w if any(s <= at < e for s, e in own) else "substituted" for at, w in enumerate(items[i])] + ["after"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(own)) for i, own in items.items()], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.overlap_words, r.matching_words) for r in find_overlaps(df, bench).collect())
+    assert got == [(0, 0, 27, 24), (1, 1, 17, 16), (2, 2, 14, 13), (3, 3, 14, 13)]
+    assert remove_contaminated(df, bench).count() == 0
