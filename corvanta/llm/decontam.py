@@ -1,13 +1,15 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seeds of consecutive words.
 
-A seed is a mask over a span of words that ignores some of them. Texts and benchmark
-items are hashed under each mask; equal hashes are joined; and around each hit the
-text and the item are aligned and compared word by word, substitutions allowed.
+An overlap with few enough substitutions holds a run of equal words whose length
+follows from the item's. Texts and benchmark items are hashed by runs of that length;
+equal hashes are joined; and along each hit the text and the item are aligned and
+compared word by word, substitutions allowed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -19,12 +21,7 @@ from pyspark.sql import functions as F
 from corvanta.llm.tokens import mixed, utf8_texts, window_hashes, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
-#: Masks of 12 words that leave out three neighbours, so that any single substitution in 12
-#: words, or up to three close together, leaves one mask whole; and two of 7 words in 9 and
-#: 10, for substitutions that are dense and scattered.
-SPAN = 12
-MASKS = (*(tuple(i for i in range(SPAN) if not gap <= i < gap + 3) for gap in (0, 3, 6, 9)), (0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 4, 5, 8, 9))
-#: For items shorter than a mask: their first words, without a gap.
+#: Items of fewer words match nothing.
 SHORT = 5
 #: Words of benchmark items that one pass over the texts looks for.
 BLOCK_WORDS = 2_000_000
@@ -39,6 +36,7 @@ class Items(NamedTuple):
     keys: np.ndarray
     places: np.ndarray
     filter: np.ndarray
+    seeds: list[int]
 
     def words_of(self, i: int) -> np.ndarray:
         return self.words[self.starts[i] : self.starts[i + 1]]
@@ -49,34 +47,37 @@ def text_words(text: bytes | None) -> np.ndarray:
     return word_hashes([w.encode() for w in WORD.findall((text or b"").decode(errors="replace").lower())])
 
 
-def seed_hashes(words: np.ndarray, short: bool) -> Iterator[np.ndarray]:
-    """Hashes by position under each mask, each mask with hashes of its own."""
-    for n, mask in enumerate(MASKS):
-        # A gap at an end shortens the span; positions still count from the mask's start.
-        first = mask[0]
-        hashes = window_hashes(words[first:], tuple(i - first for i in mask))
-        yield mixed(hashes + np.uint64(n + 1))
-    if short:
-        yield mixed(window_hashes(words, tuple(range(SHORT))) + np.uint64(99))
+@lru_cache(maxsize=None)
+def seed_words(n: int, least: int, percent: int) -> int:
+    """Consecutive equal words that every overlap with an item of ``n`` words holds.
+
+    An overlap of q equal words has at most n - q others, and no more than its share
+    allows; k of them leave a run of at least q / (k + 1).
+    """
+    need = max(1, min(least, -(-percent * n // 100)))
+    return min(-(-q // (min(n - q, q * (100 - percent) // percent) + 1)) for q in range(need, n + 1))
+
+
+def seed_hashes(words: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes by position of runs of ``seed`` words, each length with hashes of its own."""
+    return mixed(window_hashes(words, tuple(range(seed))) + np.uint64(seed))
 
 
 FILTER_BITS = 24
 
 
-def prepare(items: list[tuple[object, str]]) -> Items:
+def prepare(items: list[tuple[object, str]], least: int, percent: int) -> Items:
     """Seeds of benchmark items, sorted by hash, with a bit filter before them."""
-    ids, all_words, starts, keys, places = [], [], [0], [], []
+    ids, all_words, starts, keys, places, seeds = [], [], [0], [], [], set()
     for item, text in items:
         words = text_words((text or "").encode())
         if len(words) < SHORT:
             continue
-        short = len(words) < SPAN
-        for n, hashes in enumerate(seed_hashes(words, short)):
-            if short != (n == len(MASKS)):
-                continue
-            at = np.arange(len(hashes))[: 1 if short else None]
-            keys.append(hashes[at])
-            places.append(np.stack([np.full(len(at), len(ids)), at], axis=1))
+        seed = seed_words(len(words), least, percent)
+        seeds.add(seed)
+        hashes = seed_hashes(words, seed)
+        keys.append(hashes)
+        places.append(np.stack([np.full(len(hashes), len(ids)), np.arange(len(hashes))], axis=1))
         ids.append(item)
         all_words.append(words)
         starts.append(starts[-1] + len(words))
@@ -85,7 +86,7 @@ def prepare(items: list[tuple[object, str]]) -> Items:
     order = np.argsort(key, kind="stable")
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[key >> np.uint64(64 - FILTER_BITS)] = True
-    return Items(ids, np.concatenate([*all_words, np.empty(0, np.uint64)]), np.array(starts), key[order], place[order], bits)
+    return Items(ids, np.concatenate([*all_words, np.empty(0, np.uint64)]), np.array(starts), key[order], place[order], bits, sorted(seeds))
 
 
 def best_stretch(same: np.ndarray, percent: int) -> tuple[int, int, int]:
@@ -109,13 +110,12 @@ def best_stretch(same: np.ndarray, percent: int) -> tuple[int, int, int]:
     return int(places[at]), int(places[at] + lengths[at]), int(matches[at])
 
 
-def overlaps(text: bytes | None, items: Items, least: int, percent: int, short: bool) -> list[tuple[int, int, int, int, int]]:
+def overlaps(text: bytes | None, items: Items, least: int, percent: int) -> list[tuple[int, int, int, int, int]]:
     """(item, text start, item start, length, matches) of verified overlaps, the best of each item."""
     words = text_words(text)
-    if len(words) < SHORT or not len(items.keys):
-        return []
     diagonals: set[tuple[int, int]] = set()
-    for hashes in seed_hashes(words, short):
+    for seed in items.seeds:
+        hashes = seed_hashes(words, seed)
         near = np.flatnonzero(items.filter[hashes >> np.uint64(64 - FILTER_BITS)])
         if not len(near):
             continue
@@ -140,14 +140,13 @@ OUT = "item_id {kind}, text_start long, item_start long, overlap_words long, mat
 
 
 def _finder(items: Items, least: int, percent: int, item_type: pa.DataType, keep: list[str]):
-    short = bool((np.diff(items.starts) < SPAN).any())
     names = [*keep, "item_id", "text_start", "item_start", "overlap_words", "matching_words", "item_words"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
             for row, text in enumerate(utf8_texts(batch.column("text"))):
-                for hit in overlaps(text, items, least, percent, short):
+                for hit in overlaps(text, items, least, percent):
                     at.append(row)
                     found.append(hit)
             if found:
@@ -161,17 +160,17 @@ def _finder(items: Items, least: int, percent: int, item_type: pa.DataType, keep
     return find
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[Items]:
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int, least: int, percent: int) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, in order of id; items are never split."""
     held, count = [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
         size = (row["t"] or "").count(" ") + 1
         if held and count + size > block_words:
-            yield prepare(held)
+            yield prepare(held, least, percent)
             held, count = [], 0
         held.append((row["i"], row["t"]))
         count += size
-    yield prepare(held)
+    yield prepare(held, least, percent)
 
 
 def find_overlaps(
@@ -192,7 +191,8 @@ def find_overlaps(
     doc_id, item_id, text_start and item_start (word positions), overlap_words,
     matching_words and item_words; the best stretch if several overlap.
 
-    Items below 5 words, null or empty ones match nothing, nor do null and empty texts.
+    Every such overlap is found. Items below 5 words, null or empty ones match nothing,
+    nor do null and empty texts.
     The benchmark is sent to all tasks in blocks of at most ``block_words`` words (or
     one longer item), with a pass over the texts for each block. Rows with equal ids
     are reported each; an empty table on either side gives an empty result. Other
@@ -203,18 +203,16 @@ def find_overlaps(
     arrow = pa.string() if kind.typeName() == "string" else pa.int64()
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + OUT.format(kind="string" if arrow == pa.string() else "long")
     found = None
-    for items in blocks_of(benchmark, item_id, item_text, block_words):
+    for items in blocks_of(benchmark, item_id, item_text, block_words, least_words, percent):
         part = rows.mapInArrow(_finder(items, least_words, percent, arrow, ["doc_id"]), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def _cleaner(items: Items, least: int, percent: int, text: str):
-    short = bool((np.diff(items.starts) < SPAN).any())
-
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not overlaps(t, items, least, percent, short) for t in utf8_texts(batch.column(text))], pa.bool_()))
+            yield batch.filter(pa.array([not overlaps(t, items, least, percent) for t in utf8_texts(batch.column(text))], pa.bool_()))
 
     return clean
 
@@ -227,6 +225,6 @@ def remove_contaminated(
     Each row is judged by its own text, whatever its id, so nothing is shuffled. The
     blocks of the benchmark follow each other in one pass.
     """
-    for items in blocks_of(benchmark, item_id, item_text, block_words):
+    for items in blocks_of(benchmark, item_id, item_text, block_words, least_words, percent):
         df = df.mapInArrow(_cleaner(items, least_words, percent, text), df.schema)
     return df

@@ -87,3 +87,23 @@ def test_longer_stretches_of_smaller_sum(spark):
     got = sorted((r.doc_id, r.item_id, r.overlap_words, r.matching_words) for r in find_overlaps(df, bench).collect())
     assert got == [(0, 0, 27, 24), (1, 1, 17, 16), (2, 2, 14, 13), (3, 3, 14, 13)]
     assert remove_contaminated(df, bench).count() == 0
+
+
+def test_every_overlap_is_found(spark):
+    rng = random.Random(9)
+    items = [(n, " ".join(words(rng, n, 5000))) for n in range(5, 32)]
+    rows = []
+    for n, text in items:
+        for changed in range(n // 4 + 2):
+            for _ in range(4):
+                own = text.split()
+                for at in rng.sample(range(n), min(changed, n)):
+                    own[at] = "substituted"
+                rows.append((len(rows), " ".join(words(rng, 6) + own + words(rng, 4))))
+        rows.append((len(rows), " ".join(text.split()[1:])))
+        rows.append((len(rows), " ".join(text.split()[:-1])))
+    got = {(r.doc_id, r.item_id) for r in find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in rows for i, own in items if brute(t, own, 13, 80)}
+    items, rows = planted(random.Random(3))
+    got = {(r.doc_id, r.item_id) for r in find_overlaps(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(r[0], i) for r in rows for i, t in items if brute(r[1], t, 13, 80)}
