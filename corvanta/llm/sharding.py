@@ -117,7 +117,26 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: Sequence[int], shards: int) -> list[int]:
-    """Bins of the least capacity found by bisection for which ``shards`` bins are enough."""
+    """Bins of the least capacity found by bisection for which ``shards`` bins are enough.
+
+    What is larger than its share of the bytes that are left, largest first, gets a bin
+    of its own; the capacity is that of the other bins.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    alone, left = 0, sum(sizes)
+    while alone < min(shards - 1, len(sizes)) and sizes[order[alone]] * (shards - alone) > left:
+        left -= sizes[order[alone]]
+        alone += 1
+    bins = [0] * len(sizes)
+    for bin_, i in enumerate(order[:alone]):
+        bins[i] = bin_
+    rest = sorted(order[alone:])
+    for i, bin_ in zip(rest, _pack_evenly([sizes[i] for i in rest], shards - alone), strict=True):
+        bins[i] = alone + bin_
+    return bins
+
+
+def _pack_evenly(sizes: list[int], shards: int) -> list[int]:
     if not sizes:
         return []
     low = max(max(sizes), -(-sum(sizes) // shards))

@@ -75,3 +75,17 @@ def test_empty_and_bad_parameters(spark):
     for bad in ({}, {"shards": 0}, {"shards": 2, "capacity": 2}):
         with pytest.raises(ValueError):
             shard_groups(empty, **bad)
+
+
+def test_one_group_of_a_third_of_the_bytes(spark):
+    sizes = [7000, *[10 + i % 7 for i in range(1077)]]
+    load = [0] * 8
+    for size, bin_ in zip(sizes, pack_into(sizes, 8), strict=True):
+        load[bin_] += size
+    assert max(load) == 7000 and max(sorted(load)[:7]) - min(load) < 0.05 * max(sorted(load)[:7])
+    rows = [(i, "copied " * 20 if i < 300 else f"text {i} " + "x " * (50 + i % 30)) for i in range(1000)]
+    load = defaultdict(int)
+    for r in shard_groups(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect():
+        load[r.shard] += r.size
+    others = sorted(load.values())[:7]
+    assert set(load) == set(range(8)) and others[-1] - others[0] < 0.05 * others[-1]
