@@ -39,6 +39,9 @@ HARMLESS_WORDS = ("commit", "sha", "hash", "checksum", "digest", "uuid", "guid",
 HARMLESS_PATHS = ("test", "example", "sample", "fixture", "doc", "mock", "lock")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "sk-", "AIza", "eyJ", "npm_", "pypi-")
 
+#: A value of 6 or more token characters that is assigned to a name with a secret word in it.
+ASSIGNED = r"(?i)(?:" + "|".join(SECRET_WORDS) + r")[A-Za-z0-9_.-]{0,32}[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_=.~-]{6,})"
+
 FEATURES = ["length", "transitions", "case_changes", "digit_share", "distinct_share", "hexadecimal", "covered", "longest_word", "prefix", "secret_near", "harmless_near", "assigned", "harmless_path", "harmless_inside"]
 
 
@@ -76,21 +79,29 @@ def with_features(findings: DataFrame) -> DataFrame:
 def find_candidates(df: DataFrame, text: str = "text", row_id: str = "doc_id", path: str | None = None) -> DataFrame:
     """A row for each distinct candidate of each row: doc_id, candidate, before, path, places.
 
-    A candidate has 16 or more token characters, a digit among them, or a known prefix;
+    A candidate has 16 or more token characters, a digit and a letter among them or a
+    known prefix; or 6 or more of any kind, assigned to a name with a secret word.
     ``before`` are the characters before its first place, ``places`` how often it
     stands in the text. Null and empty texts have none; repeated rows have theirs each.
     """
     t = F.col("t")
     rows = df.select(F.col(row_id).alias("doc_id"), F.col(text).alias("t"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"))
-    found = F.filter(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
-    rows = rows.withColumn("found", found).where(F.size("found") > 0)
-    each = rows.select("doc_id", "t", "path", "found", F.explode(F.array_distinct("found")).alias("candidate"))
+    known = "^(" + "|".join(PREFIXES) + ")"
+    found = F.filter(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda x: (x.rlike("[0-9]") & x.rlike("[A-Za-z]")) | x.rlike(known))
+    pairs = F.zip_with(F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(0)), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(1)), lambda w, v: F.struct(w.alias("whole"), v.alias("value")))
+    rows = rows.withColumn("found", found).withColumn("assigned", F.filter(pairs, lambda x: ~F.array_contains("found", x["value"])))
+    rows = rows.withColumn("all", F.concat("found", F.transform("assigned", lambda x: x["value"]))).where(F.size("all") > 0)
+    each = rows.select("doc_id", "t", "path", "all", "assigned", F.explode(F.array_distinct("all")).alias("candidate"))
+    # An assigned value can stand in other words before: its place is that of the assignment.
+    whole = F.coalesce(F.get(F.filter("assigned", lambda x: x["value"] == F.col("candidate")), F.lit(0))["whole"], F.col("candidate"))
+    each = each.withColumn("whole", whole)
+    name = F.expr("left(whole, length(whole) - length(candidate))")
     return each.select(
         "doc_id",
         "candidate",
-        F.right(F.split_part(t, F.col("candidate"), F.lit(1)), F.lit(NEAR)).alias("before"),
+        F.right(F.concat(F.split_part(t, F.col("whole"), F.lit(1)), name), F.lit(NEAR)).alias("before"),
         "path",
-        F.size(F.filter("found", lambda x: x == F.col("candidate"))).cast("long").alias("places"),
+        F.size(F.filter("all", lambda x: x == F.col("candidate"))).cast("long").alias("places"),
     )
 
 
