@@ -286,7 +286,18 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "
     nothing: component_id is their own id. Texts with equal sets are linked whatever
     their ids. Rows with equal ids stay rows of their own. Null ids take the smallest
     id of their component, or null if it has none. An empty table gives an empty
-    result. Other columns are neither read nor returned.
+    result. Very long texts are read to their end; a task holds one text's shingles at
+    a time, 8 bytes each. Other columns are neither read nor returned.
+    """
+    return ngram_classes(df, k, percent, text, row_id).select("doc_id", "n_shingles", "component_id")
+
+
+def ngram_classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """As ``ngram_components``, with what tells rows and components apart where ids do not.
+
+    Adds content (xxhash64 of the text) and class (a number of the component; null for
+    texts without shingles). Two components can share a component_id where ids repeat,
+    but not a class.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "ngram-join")
@@ -329,6 +340,7 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "
     classes = least.join(joined, least["set"] == joined["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     names = ws.save(classes, "classes")
     tops = names.groupBy("component").agg(F.min("least").alias("component_id"))
-    named_sets = names.join(tops, "component").select("set", "component_id")
-    alone = described.where("set is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return known.join(named_sets, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    named_sets = names.join(tops, "component").select("set", F.col("component").alias("class"), "component_id")
+    out = ("doc_id", F.col("n").alias("n_shingles"), "component_id", "content", "class")
+    alone = described.where("set is null").withColumns({"component_id": F.col("doc_id"), "class": F.lit(None).cast("long")}).select(*out)
+    return known.join(named_sets, "set").select(*out).union(alone)

@@ -8,7 +8,7 @@ MIX = r"""
 WITH rows AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS k
+         CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS k
   FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

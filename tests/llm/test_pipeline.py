@@ -36,7 +36,7 @@ def test_stages_like_brute_force(spark, folder):
     assert len(toxic & kept) <= 4 and len({i for i in range(160) if i % 4} - kept) <= 2 and {503, 504, None} <= kept
     unique = stages["near_duplicates"](spark, clean, folder).cache()
     rows = [tuple(r)[:5] for r in clean.collect()]
-    want = sorted({r[0] for r in near(rows) if r[0] == r[2]}, key=repr)
+    want = sorted({r[0] for r in near(rows) if r[0] == r[2]}, key=repr)  # ids of this table name one text each
     got = [r.doc_id for r in unique.collect()]
     assert sorted(got, key=repr) == want and unique.columns == docs.columns
     left = stages["decontamination"](spark, unique, folder).cache()
@@ -55,6 +55,33 @@ def test_stages_like_brute_force(spark, folder):
     assert packed.count() == mixed.count() and {r.shard for r in packed.collect()} <= set(range(8))
 
 
+def odd(spark):
+    """Rows that ids do not tell apart, with further columns of names that operators use."""
+    x, y, z = (" ".join(words(random.Random(i), 40, 5000)) for i in range(3))
+    rows = [(3, x), (5, y), (5, x), (5, y), (6, y + " end"), (None, z), (None, z), (None, x + " end"), (None, "another one without id"), (7, None), (7, None), (8, ""), (None, None), (9, z + " end")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "c", 2) for i, t in rows], SCHEMA + ", class int, content string, key long"), (x, y, z)
+
+
+def test_near_duplicates_by_row(spark, folder):
+    docs, (x, y, z) = odd(spark)
+    out = corpus_pipeline.near_duplicates(spark, docs, folder)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert out.columns == docs.columns
+    assert got == sorted([(3, x), (5, y), (9, z + " end"), (None, "another one without id"), (7, None), (7, None), (8, ""), (None, None)], key=repr)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, folder, name):
+    docs, _ = odd(spark)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out, none = stage(spark, docs, folder), stage(spark, docs.limit(0), folder)
+    assert none.count() == 0 and none.columns == out.columns
+    if name != "sharding":
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    rows = out.count()
+    assert rows == {"near_duplicates": 8, "mixing": 10}.get(name, 14)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 50
