@@ -1,7 +1,9 @@
 """A corpus through five stages: toxicity, near duplicates, decontamination, mixing, sharding.
 
 Each stage reads what the one before kept, written as Parquet. All but the last return
-the columns of documents.
+the columns of documents. Stages judge rows, not ids: null and repeated ids are told
+apart by their texts. Empty tables give empty results, texts are read to their end
+however long they are, and further columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvanta.llm.columns import WORD, fresh_name
+from corvanta.llm.columns import fresh_name
 from corvanta.llm.decontam import remove_contaminated
-from corvanta.llm.mixing import mix_sources
-from corvanta.llm.ngram_join import ngram_components
+from corvanta.llm.mixing import mixed_rows
+from corvanta.llm.ngram_join import ngram_classes
 from corvanta.llm.sharding import shard_groups
 from corvanta.llm.toxicity import score_toxicity, toxic_labels, train
 from corvanta.sources.tables import read_table
@@ -25,7 +27,11 @@ SHARDS = 8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that the model rejects. Trained on all labels of ``docs``."""
+    """Documents without those that the model rejects. Trained on all labels of ``docs``.
+
+    Null and empty texts are scored like any text without words, and stay. Repeated rows
+    are judged each, alike. Without labels nothing is rejected.
+    """
     model = train(docs, toxic_labels(read_table(spark, sf_dir, "labels"), held_out=None))
     prefix = "toxicity"
     while any(c.lower().startswith(prefix + "_") for c in docs.columns):
@@ -35,48 +41,55 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that with its smallest doc_id.
+    """One row of each group of near duplicates: that with the smallest doc_id.
 
-    Of rows that repeat this id, one stays; rows without an id stay if nothing with an
-    id is like them.
+    Where rows of the group share this id, the one with the smallest hash of its text;
+    of equal texts the first in order of the other columns. Rows without an id come
+    last. Texts without words are like nothing: all their rows stay.
     """
-    found = ngram_components(docs, k=5, percent=80)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    repeated = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    # Ids are distinct as a rule; only rows of repeated ids are compared with each other.
-    twice = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["again"]), "left_semi")
-    return rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["again"]), "left_anti").unionByName(_one_each(twice))
+    ws = Workspace(spark, "near-duplicates")
+    found = ws.save(ngram_classes(docs, k=5, percent=80), "classes")
+    each = found.groupBy("class", "doc_id", "content").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.min_by(F.struct("doc_id", "content", "rows"), F.struct(F.col("doc_id").isNull(), "doc_id", "content"))
+    best = each.where("class is not null").groupBy("class").agg(least.alias("b")).select("b.*")
+    blank = each.where("class is null").select("doc_id", "content", F.lit(1).cast("long").alias("rows"))
+    k_id, k_content, rows = (fresh_name(docs.columns, n) for n in ("k_id", "k_content", "k_rows"))
+    kept = ws.save(best.union(blank).toDF(k_id, k_content, rows), "kept")
+    of_row = docs["doc_id"].eqNullSafe(F.col(k_id)) & (F.xxhash64(docs["text"]) == F.col(k_content))
+    once = docs.join(kept.where(F.col(rows) == 1), of_row, "left_semi")
+    return once.unionByName(_one_each(docs.join(kept.where(F.col(rows) > 1), of_row, "left_semi")))
 
 
 def _one_each(rows: DataFrame) -> DataFrame:
-    """Rows of repeated ids, one for each id and text; null ids have one for each text."""
-    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).asc_nulls_last() for c in rows.columns if c not in ("doc_id", "text")])
+    """The first row of each id and text in order of the other columns."""
     place = fresh_name(rows.columns, "place")
+    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).asc_nulls_last() for c in rows.columns if c not in ("doc_id", "text")], F.lit(1))
     return rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*rows.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with the benchmark."""
+    """Documents without a verified overlap with the benchmark.
+
+    Null and empty texts overlap with nothing and stay; repeated rows are judged each.
+    """
     return remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"), least_words=13, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken whole, and once more, cut, where a budget ends in it."""
-    epochs, cut, copy, m_id, m_source = (fresh_name(docs.columns, n) for n in ("epochs", "cut", "copy", "m_id", "m_source"))
-    taken = mix_sources(docs, weights=(5, 2, 1), max_epochs=3).where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias(m_id), F.col("source").alias(m_source)).agg(F.max("epochs").alias(epochs), F.max("cut").alias(cut))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken[m_id]) & docs["source"].eqNullSafe(taken[m_source]))
-    each = joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(epochs) + (F.col(cut) > 0).cast("long"))))
-    whole = F.col(copy) <= F.col(epochs)
-    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    part = F.array_join(F.slice(words, F.lit(1), F.col(cut).cast("int")), "")
-    out = each.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    """The mix: each document as often as its source's budget takes it, and one of a source cut where the budget ends.
+
+    Texts without words are not taken. Equal rows are exchangeable.
+    """
+    is_cut = fresh_name(docs.columns, "is_cut")
+    mixed = mixed_rows(docs, weights=(5, 2, 1), max_epochs=3, cut_name=is_cut)
+    return mixed.withColumn("n_chars", F.when(F.col(is_cut), F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for each row of the mix."""
+    """A shard and a slot for each row of the mix.
+
+    Rows with equal texts share a shard; null texts are one group, empty ones another.
+    """
     return shard_groups(docs, shards=SHARDS)
 
 
