@@ -55,6 +55,51 @@ def echo(prompt: str) -> str:
     return "No model is connected. Question: " + prompt.rpartition("Question: ")[2].removesuffix("\n\nAnswer:")
 
 
+# How an HTTP generator is asked to sample, and how long it may take.
+SAMPLING = {"num_predict": 350, "temperature": 0.2, "top_p": 0.9, "num_ctx": 2048}
+TIMEOUT_SECONDS = 120
+
+
+def _json(url: str, payload: dict | None = None, timeout: float = TIMEOUT_SECONDS) -> dict:
+    import json
+    from urllib.request import Request, urlopen
+
+    data = None if payload is None else json.dumps(payload).encode()
+    with urlopen(Request(url, data, {"Content-Type": "application/json"}), timeout=timeout) as reply:  # noqa: S310  the caller names the server
+        return json.loads(reply.read())
+
+
+def http_generator(url: str, model: str, timeout: float = TIMEOUT_SECONDS) -> Generator:
+    """A generator that posts prompts to ``url``/api/generate. It raises where the server does not answer."""
+
+    def answer(prompt: str) -> str:
+        return _json(url.rstrip("/") + "/api/generate", {"model": model, "prompt": prompt, "stream": False, "options": SAMPLING}, timeout).get("response", "")
+
+    return answer
+
+
+def installed_models(url: str, timeout: float = TIMEOUT_SECONDS) -> list[str]:
+    """Names of the models that the server has; none if it does not answer."""
+    try:
+        return [m["name"] for m in _json(url.rstrip("/") + "/api/tags", timeout=timeout).get("models", []) if m.get("name")]
+    except (OSError, ValueError):
+        return []
+
+
+def is_reachable(url: str, timeout: float = TIMEOUT_SECONDS) -> bool:
+    """Whether the server answers at all."""
+    try:
+        _json(url.rstrip("/") + "/api/tags", timeout=timeout)
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+def http_models(url: str, preferred: Sequence[str | None] = (), timeout: float = TIMEOUT_SECONDS) -> dict[str, Generator]:
+    """Generators by name, for ``generate``: the preferred models in order, then what the server has."""
+    return {name: http_generator(url, name, timeout) for name in candidate_models(preferred, installed_models(url, timeout))}
+
+
 def generate(prompts: DataFrame, models: dict[str, Generator], order: Sequence[str] | None = None) -> DataFrame:
     """(query_id, answer, model_used): the first model in ``order`` that answers, for each prompt.
 

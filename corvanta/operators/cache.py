@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from bisect import bisect_left
 from collections import OrderedDict
+from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvanta.functions.keys import hit_rate
+from corvanta.functions.keys import HALVING, hit_rate
 from corvanta.operators.folds import ordered_fold
+from corvanta.operators.ring import PLACE_MARK, VIRTUAL_NODES
 from corvanta.operators.search import vector_search
 
 #: Least recently used entries among which a predictive eviction chooses, and the size above which it does.
@@ -19,6 +24,9 @@ SAMPLE = 6
 PREDICT_ABOVE = 4
 SEMANTIC_CAPACITY = 500
 SEMANTIC_LEAST = 0.88
+#: Shards of a cache, and entries of each.
+SHARDS = ("partition-0", "partition-1", "partition-2", "partition-3")
+SHARD_CAPACITY = 64
 
 
 class Entry:
@@ -86,7 +94,7 @@ class BoundedCache:
         return min(tail, key=lambda k: self._utility(self.entries[k], now))
 
     def _utility(self, entry: Entry, now: float) -> float:
-        return math.log1p(entry.accesses) * math.exp(-0.693147 * max(0.0, now - entry.last) / self.half_life)
+        return math.log1p(entry.accesses) * math.exp(-HALVING * max(0.0, now - entry.last) / self.half_life)
 
 
 REPLAY = "node string, seq long, key string, hit boolean, evicted string, size long, evictions long, predictive_evictions long"
@@ -156,7 +164,7 @@ def replay_log(log: DataFrame, capacity: int, default_ttl: float | None, predict
             shard.hits += hit
             shard.misses += not hit
         elif row.op == "put":
-            removed = cache.put(row.key, row.value, now, default_ttl if row.ttl is None or row.ttl != row.ttl else row.ttl)
+            removed = cache.put(row.key, row.value, now, default_ttl if row.ttl is None else row.ttl)
         elif row.op == "delete":
             removed = row.key if cache.delete(row.key) else None
         elif row.op == "clear":
@@ -216,40 +224,153 @@ def semantic_lookup(entries: DataFrame, probes: DataFrame, least: float = SEMANT
     )
 
 
+class SemanticCache:
+    """A cache of bounded shards on a hash ring, with a list of vectors beside them that finds like keys.
 
+    The list is bounded too: the oldest entry goes first. A null lifetime means
+    ``default_ttl`` for the shards, and none for the list.
+    """
 
-def replay_semantic(log: DataFrame, ttl: float | None = None, least: float = SEMANTIC_LEAST, capacity: int = SEMANTIC_CAPACITY) -> DataFrame:
-    """Replay of ``log`` (scope, seq, ts, key, vector): exact, then semantic get; put on a miss.
+    def __init__(self, nodes: Sequence[str], capacity: int, default_ttl: float | None, least: float, semantic_capacity: int, predictive: bool, virtual_nodes: int):
+        self.shards = {node: BoundedCache(capacity, predictive) for node in nodes}
+        self.default_ttl, self.least, self.semantic_capacity = default_ttl, least, semantic_capacity
+        places: dict[int, str] = {}
+        for node in nodes:
+            for i in range(virtual_nodes):
+                places.setdefault(_place(f"{node}{PLACE_MARK}{i}"), node)
+        self.places = sorted(places.items())
+        self.near: list[tuple[Any, Any, float]] = []  # key, unit vector, end of life
+        self.hits = self.misses = self.semantic_hits = self.epoch = 0
+
+    def shard(self, key: str) -> BoundedCache:
+        return self.shards[self.places[bisect_left(self.places, (_place(key),)) % len(self.places)][1]]
+
+    def get(self, key: str, now: float) -> Any:
+        found = self.shard(key).get(key, now)
+        self._count(found is not None)
+        return found
+
+    def get_like(self, key: str, vector: Any, now: float) -> tuple[str, float]:
+        """("exact", 1), ("semantic", similarity) or ("miss", 0); entries of the list past their life are dropped."""
+        if self.shard(key).get(key, now) is not None:
+            self._count(True)
+            return "exact", 1.0
+        own = _unit(vector)
+        if own is not None and self.near:
+            self.near = [e for e in self.near if now <= e[2]]
+            if self.near:
+                similar = np.stack([e[1] for e in self.near]) @ own
+                best = float(similar[int(np.argmax(similar))])
+                if best >= self.least:
+                    self._count(True)
+                    self.semantic_hits += 1
+                    return "semantic", best
+        self._count(False)
+        return "miss", 0.0
+
+    def put(self, key: str, now: float, ttl: float | None = None, vector: Any = None) -> None:
+        self.shard(key).put(key, True, now, self.default_ttl if ttl is None else ttl)
+        own = _unit(vector)
+        if own is not None:
+            if len(self.near) >= self.semantic_capacity:
+                self.near.pop(0)
+            self.near.append((key, own, now + ttl if ttl is not None and ttl > 0 else math.inf))
+
+    def delete(self, key: str) -> bool:
+        self.near = [e for e in self.near if e[0] != key]
+        return self.shard(key).delete(key)
 
-    Returns scope, seq, hit_type and similarity. Scopes are independent caches. Entries
-    past their lifetime are dropped at a semantic get; above ``capacity`` the oldest goes.
+    def clear(self) -> None:
+        """Drop all entries and counts of hits and misses; those of evictions stay, and an epoch begins."""
+        for shard in self.shards.values():
+            shard.clear()
+        self.near.clear()
+        self.hits = self.misses = self.semantic_hits = 0
+        self.epoch += 1
+
+    def _count(self, hit: bool) -> None:
+        self.hits += hit
+        self.misses += not hit
+
+    def counts(self) -> tuple[int, ...]:
+        own = self.shards.values()
+        return (
+            sum(len(s.entries) for s in own), self.hits, self.misses, self.semantic_hits, len(self.near),
+            sum(s.evictions for s in own), sum(s.predictive_evictions for s in own), self.epoch,
+        )
+
+
+def _place(key: str) -> int:
+    return int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big", signed=True)
+
+
+def _unit(vector: Any) -> Any:
+    if vector is None:
+        return None
+    x = np.asarray(vector, dtype=np.float64)
+    length = float(np.linalg.norm(x))
+    return x / length if length > 0 else None
+
+
+COUNTS = "size long, hits long, misses long, semantic_hits long, semantic_entries long, evictions long, predictive_evictions long, epoch long"
+
+
+def replay_semantic(
+    log: DataFrame,
+    ttl: float | None = None,
+    least: float = SEMANTIC_LEAST,
+    capacity: int = SEMANTIC_CAPACITY,
+    nodes: Sequence[str] = SHARDS,
+    shard_capacity: int = SHARD_CAPACITY,
+    default_ttl: float | None = None,
+    predictive: bool = True,
+    virtual_nodes: int = VIRTUAL_NODES,
+) -> DataFrame:
+    """Replay of ``log`` (scope, seq, ts, key, vector) on a sharded semantic cache for each scope.
+
+    Without a column ``op`` each row asks: an exact, then a semantic get, and a put on a
+    miss. With one, it is ask, get, put, delete or clear; with a column ``ttl`` that is
+    the entry's lifetime in seconds, else the argument. Returns scope, seq, hit_type
+    (exact, semantic or miss; null for other operations), similarity, and the scope's
+    counts after the row. A scope is one cache, and so one task's; scopes run in
+    parallel. Other operations raise ValueError in their task.
     """
-    import numpy as np
 
-    def step(state: dict, row) -> tuple:
-        now = row.micros / 1e6
-        expires = state["exact"].get(row.key, -math.inf)
-        vector = np.asarray(row.vector, dtype=np.float64)
-        length = float(np.linalg.norm(vector))
-        if row.key in state["exact"] and now <= expires:
-            return row.scope, row.seq, "exact", 1.0
-        if length > 0 and state["entries"]:
-            state["entries"] = [e for e in state["entries"] if now <= e[1]]
-            if state["entries"]:
-                near = np.stack([e[0] for e in state["entries"]]) @ (vector / length)
-                best = int(np.argmax(near))
-                if near[best] >= least:
-                    return row.scope, row.seq, "semantic", float(near[best])
-        until = now + ttl if ttl is not None and ttl > 0 else math.inf
-        state["exact"][row.key] = until
-        if length > 0:
-            if len(state["entries"]) >= capacity:
-                state["entries"].pop(0)
-            state["entries"].append((vector / length, until))
-        return row.scope, row.seq, "miss", 0.0
-
-    events = log.select("scope", "seq", "key", "vector", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return ordered_fold(events, "scope", ["micros", "seq"], lambda: {"exact": {}, "entries": []}, step, "scope string, seq long, hit_type string, similarity double")
+    def step(cache: SemanticCache, row) -> tuple:
+        now, kind, similarity = row.micros / 1e6, None, 0.0
+        if row.op == "ask":
+            kind, similarity = cache.get_like(row.key, row.vector, now)
+            if kind == "miss":
+                cache.put(row.key, now, row.ttl, row.vector)
+        elif row.op == "get":
+            kind = "miss" if cache.get(row.key, now) is None else "exact"
+            similarity = float(kind == "exact")
+        elif row.op == "put":
+            cache.put(row.key, now, row.ttl, row.vector)
+        elif row.op == "delete":
+            cache.delete(row.key)
+        elif row.op == "clear":
+            cache.clear()
+        else:
+            raise ValueError(f"no such operation: {row.op}")
+        return row.scope, row.seq, kind, similarity, *cache.counts()
+
+    def start() -> SemanticCache:
+        return SemanticCache(nodes, shard_capacity, default_ttl, least, capacity, predictive, virtual_nodes)
+
+    start()  # rejects a bad capacity before anything runs
+    op = F.col("op") if "op" in log.columns else F.lit("ask")
+    life = F.col("ttl").cast("double") if "ttl" in log.columns else F.lit(ttl).cast("double")
+    events = log.select("scope", "seq", "key", F.col("vector").cast("array<double>").alias("vector"), op.alias("op"), life.alias("ttl"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    return ordered_fold(events, "scope", ["micros", "seq"], start, step, f"scope string, seq long, hit_type string, similarity double, {COUNTS}")
+
+
+def semantic_stats(replay: DataFrame, nodes: Sequence[str] = SHARDS, shard_capacity: int = SHARD_CAPACITY, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
+    """By scope of a ``replay_semantic``: what the cache holds and has counted at the end of its log."""
+    names = [part.strip().split()[0] for part in COUNTS.split(",")]
+    last = replay.groupBy("scope").agg(F.max_by(F.struct(*names), "seq").alias("s")).select("scope", "s.*")
+    fixed = {"capacity": F.lit(len(nodes) * shard_capacity), "num_partitions": F.lit(len(nodes)), "virtual_nodes_per_partition": F.lit(virtual_nodes)}
+    return last.withColumns({n: c.cast("long") for n, c in fixed.items()} | {"hit_rate": hit_rate(F.col("hits"), F.col("misses"))})
 
 
 def recency(access: DataFrame, key: str = "key") -> DataFrame:

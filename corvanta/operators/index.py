@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +41,27 @@ def corpus_size(units: DataFrame, unit_id: str = "chunk_id", text: str = "chunk_
     return units.select(F.lower(F.col(text)).rlike(TOKEN).alias("has")).agg(F.count_if("has").alias("n_units"))
 
 
+class Index(NamedTuple):
+    """postings (term, unit_id, tf), terms (term, df), both in order of term, and corpus (n_units), a single row."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
 def write_index(units: DataFrame, path: str, unit_id: str = "chunk_id", text: str = "chunk_text") -> None:
-    """Keep the postings under ``path``, sorted by term so that a search reads few row groups, and the corpus size."""
+    """Keep the postings of ``units`` under ``path``, sorted by term so that a search reads few row groups."""
     found = postings(units, unit_id, text)
     found.repartitionByRange("term").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
+    kept = units.sparkSession.read.parquet(f"{path}/postings")
+    terms = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     corpus_size(units, unit_id, text).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The postings and the corpus size that ``write_index`` keeps."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus")
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The index that ``write_index`` keeps."""
+    return Index(*(spark.read.parquet(f"{path}/{table}") for table in Index._fields))
 
 
 def term_statistics(index: DataFrame, size: DataFrame) -> DataFrame:

@@ -24,7 +24,18 @@ class Delta(NamedTuple):
 
 
 def common_length(a: Sequence, b: Sequence) -> int:
-    """Length of the longest common subsequence, with the rows of its table as bits of an integer."""
+    """Length of the longest common subsequence, with the rows of its table as bits of an integer.
+
+    What both begin and end with is counted without a table.
+    """
+    start = _shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _shared_end(a, b)
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return start + end
+    if len(a) < len(b):  # fewer and longer rows
+        a, b = b, a
     places: dict = {}
     for i, x in enumerate(b):
         places[x] = places.get(x, 0) | 1 << i
@@ -33,7 +44,29 @@ def common_length(a: Sequence, b: Sequence) -> int:
     for x in a:
         hit = row & places.get(x, 0)
         row = (row + hit | row - hit) & full
-    return len(b) - row.bit_count()
+    return start + len(b) - row.bit_count() + end
+
+
+def _shared_start(a: Sequence, b: Sequence) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _shared_end(a: Sequence, b: Sequence) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _lengths(a: Sequence, b: Sequence) -> list[int]:

@@ -14,9 +14,10 @@ from corvanta.functions.keys import cache_key
 from corvanta.functions.text import chunk_id, chunk_text, is_blank
 from corvanta.operators.answers import Generator, build_context, build_prompt, echo, generate, hydrate
 from corvanta.operators.cache import semantic_lookup
-from corvanta.operators.index import chunk_documents
+from corvanta.operators.index import Index, chunk_documents
 from corvanta.operators.revisions import LEAST_SIMILARITY, diff_texts, summarize, to_upsert
 from corvanta.operators.search import checked_k, checked_mode, search
+from corvanta.workspace import Workspace
 
 DIMENSIONS = 128
 Embedder = Callable[[list[str]], np.ndarray]
@@ -66,9 +67,12 @@ def accepted(documents: DataFrame) -> DataFrame:
 
 
 def ingest(documents: DataFrame, into: Store | None = None, embedder: Embedder = hashing_embedder) -> Store:
-    """The store with these documents; one that is there under an id is replaced, with all its chunks."""
+    """The store with these documents; one that is there under an id is replaced, with all its chunks.
+
+    Chunks and vectors are written to the shared folder, so that they are made once.
+    """
     new = accepted(documents.select("doc_id", "text"))
-    chunks = embed(chunk_documents(new), "chunk_text", embedder)
+    chunks = Workspace(documents.sparkSession, "store").save(embed(chunk_documents(new), "chunk_text", embedder), "chunks")
     if into is None:
         return Store(new, chunks)
     kept = delete(into, new.select("doc_id"))
@@ -99,7 +103,7 @@ def update(store: Store, revisions: DataFrame, embedder: Embedder = hashing_embe
     vectors under their new ids. Ids that the store lacks change nothing: see ``unknown``.
     """
     both = store.documents.select("doc_id", F.col("text").alias("old_text")).join(revisions.select("doc_id", "new_text"), "doc_id")
-    found = diff_texts(both, least)
+    found = Workspace(both.sparkSession, "update").save(diff_texts(both, least), "deltas")
     fresh = embed(to_upsert(found).select("doc_id", F.col("new_index").alias("chunk_index"), F.col("new_text").alias("chunk_text")), "chunk_text", embedder)
     old = store.chunks.select("doc_id", F.col("chunk_index").cast("long").alias("old_index"), "vector")
     kept = found.where("kind = 'UNCHANGED'").select("doc_id", "old_index", "new_index", "new_text").join(old, ["doc_id", "old_index"])
@@ -115,6 +119,10 @@ def health(store: Store, cached: DataFrame | None = None) -> DataFrame:
     return store.documents.agg(F.count(F.lit(1)).alias("docs_indexed")).select(F.lit("ok").alias("status"), "docs_indexed", entries.alias("cache_size"))
 
 
+#: What an answer cites, and what a cache keeps of it.
+SOURCES = "array<struct<doc_id:string,chunk_text:string,score:double,source:string>>"
+
+
 def answer(
     store: Store,
     queries: DataFrame,
@@ -123,31 +131,37 @@ def answer(
     cache: DataFrame | None = None,
     models: dict[str, Generator] | None = None,
     embedder: Embedder = hashing_embedder,
+    index: Index | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Answers to ``queries`` (query_id, query), and the cache entries that they add.
 
-    ``cache`` (seq, entry_id, key, vector, answer) is probed first, by key, then by
-    similarity; without one, nothing is read or kept. Returns (query_id, answer,
-    model_used, cached, sources) and (key, vector, answer) of what was generated.
+    ``cache`` (seq, entry_id, key, vector, answer, model_used, sources) is probed first,
+    by key, then by similarity; without one, nothing is read or kept. A hit gives what
+    was kept; its model is marked with the similarity if the key was another one.
+    Returns (query_id, answer, model_used, cached, sources) and (key, vector, answer,
+    model_used, sources) of what was generated. With a kept ``index`` of the chunks,
+    keywords are not sought in their texts. Blank queries get no answer.
     """
     mode, top_k = checked_mode(mode), checked_k(top_k)
+    ws = Workspace(queries.sparkSession, "answers")
     asked = embed(queries.where(~is_blank(F.col("query"))).select("query_id", "query"), "query", embedder)
-    asked = asked.withColumn("key", cache_key(F.col("query"), F.lit(mode), F.lit(top_k)))
+    asked = ws.save(asked.withColumn("key", cache_key(F.col("query"), F.lit(mode), F.lit(top_k))), "asked")
     open_, hits = asked, None
     if cache is not None:
         probes = asked.select(F.col("query_id").alias("probe_id"), "key", "vector")
-        found = semantic_lookup(cache, probes).where("hit_type <> 'miss'").join(cache.select("entry_id", "answer"), "entry_id")
-        tag = F.when(F.col("hit_type") == "exact", F.lit("cache")).otherwise(F.format_string("cache (semantic: %.0f%%)", F.col("similarity") * 100))
-        none = F.array().cast("array<struct<doc_id:string,chunk_text:string,score:double,source:string>>")
-        hits = found.select(F.col("probe_id").alias("query_id"), "answer", tag.alias("model_used"), F.lit(True).alias("cached"), none.alias("sources"))
+        found = semantic_lookup(cache, probes).where("hit_type <> 'miss'").join(cache.select("entry_id", "answer", "model_used", "sources"), "entry_id")
+        near = F.concat("model_used", F.format_string(" (semantic: %.0f%%)", F.col("similarity") * 100))
+        tag = F.when(F.col("hit_type") == "exact", F.col("model_used")).otherwise(near)
+        hits = ws.save(found.select(F.col("probe_id").alias("query_id"), "answer", tag.alias("model_used"), F.lit(True).alias("cached"), F.col("sources").cast(SOURCES).alias("sources")), "hits")
         open_ = asked.join(hits.select("query_id"), "query_id", "left_anti")
-    ranked = hydrate(search(store.chunks, open_, mode, top_k), store.chunks)
-    prompts = build_prompt(build_context(ranked, open_), open_)
-    texts = generate(prompts, models or {"echo": echo})
+    ranked = ws.save(hydrate(search(store.chunks, open_, mode, top_k, index=index), store.chunks), "ranked")
+    texts = generate(build_prompt(build_context(ranked, open_), open_), models or {"echo": echo})
     source = F.struct("doc_id", "chunk_text", "score", F.lit(mode).alias("source"))
     sources = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", source.alias("hit")))).alias("s"))
-    sources = sources.select("query_id", F.transform("s", lambda x: x["hit"]).alias("sources"))
-    made = texts.join(sources, "query_id", "left").select("query_id", "answer", "model_used", F.lit(False).alias("cached"), "sources")
+    sources = sources.select("query_id", F.transform("s", lambda x: x["hit"]).cast(SOURCES).alias("sources"))
+    cited = F.coalesce("sources", F.array().cast(SOURCES)).alias("sources")
+    # A generator is asked once: its answers are kept before they are read twice.
+    made = ws.save(texts.join(sources, "query_id", "left").select("query_id", "answer", "model_used", F.lit(False).alias("cached"), cited), "made")
     if cache is None:
         return made, None
-    return made.unionByName(hits), texts.join(asked, "query_id").select("key", "vector", "answer")
+    return made.unionByName(hits), made.join(asked, "query_id").select("key", "vector", "answer", "model_used", "sources")

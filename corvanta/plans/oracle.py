@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corvanta.operators.answers import INSTRUCTION, NO_CONTEXT
-from corvanta.plans.queries import HALF_LIFE, LEAK, NODES, SINGLE, UNSEEN
+from corvanta.plans.queries import HALF_LIFE, LEAK, MANY_NODES, NODES, SINGLE, UNSEEN, WAIT
 
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _IN_LINE = r"[\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -100,12 +100,13 @@ def _signed(key: str) -> str:
     return f"CAST(CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END AS BIGINT)"
 
 
-_RING = f"""ring AS (
+_ring = lambda nodes, name="ring": f"""{name} AS MATERIALIZED (
   SELECT vnode_hash, first(node ORDER BY node, i) AS node FROM (
     SELECT node, i, {_signed("node || '#vnode-' || i")} AS vnode_hash
-    FROM (SELECT unnest({NODES}) AS node) CROSS JOIN (SELECT unnest(range(150)) AS i)
+    FROM (SELECT unnest({nodes}) AS node) CROSS JOIN (SELECT unnest(range(150)) AS i)
   ) GROUP BY vnode_hash
-)"""
+)"""
+_RING = _ring(NODES)
 _KEYS = f"keys AS (SELECT key, {_signed('key')} AS h FROM (SELECT DISTINCT event_type || ':' || user_id AS key FROM events))"
 _routed = lambda ring, name: f"""{name} AS (
   SELECT key, coalesce(
@@ -137,6 +138,22 @@ _REV = f"""ls AS (
   UNION ALL SELECT doc_id, 'ADDED', NULL, j + 1, NULL, added FROM placed WHERE i % 6 = 5
 )"""
 
+_UP = "translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_MOVES = f"""ls AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS lines FROM documents
+), caps AS (SELECT doc_id, lines, list_filter(list_transform(lines, lambda line: {_UP}), lambda x: NOT list_contains(lines, x)) AS changed,
+    len(list_filter(lines, lambda line: {_UP} <> line)) AS n_changed FROM ls
+), kept AS (SELECT * FROM caps WHERE len(lines) >= 3 AND len(lines) = len(list_distinct(lines)) AND len(changed) = n_changed AND len(changed) = len(list_distinct(changed))
+), li AS (SELECT doc_id, len(lines) AS n, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM kept
+), placed AS (
+  SELECT doc_id, n, i, line, {_UP} AS up, i % 6 = 3 AND i <= n - 4 AS moved, i - (least(i - 1, n - 4) + 3) // 6 AS j, (n - 4 + 3) // 6 AS all_moved FROM li
+), deltas AS (
+  SELECT doc_id, CASE WHEN i % 6 = 1 AND up <> line THEN 'MODIFIED' ELSE 'UNCHANGED' END AS kind, i AS old_index, j AS new_index, line AS old_text, CASE WHEN i % 6 = 1 THEN up ELSE line END AS new_text
+  FROM placed WHERE NOT moved
+  UNION ALL SELECT doc_id, 'DELETED', i, NULL, line, NULL FROM placed WHERE moved
+  UNION ALL SELECT doc_id, 'ADDED', NULL, n - all_moved + (i - 3) // 6, NULL, line FROM placed WHERE moved
+)"""
+
 _lcs = lambda a, b: f"""RECURSIVE p AS (
   SELECT x.item_id AS id, string_split({a}, '') AS a, string_split({b}, '') AS b, length(x.text) AS la, length(y.text) AS lb
   FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1
@@ -151,6 +168,15 @@ _lcs = lambda a, b: f"""RECURSIVE p AS (
 
 _ENTRIES = "entries AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY vec_id DESC LIMIT 500)"
 
+_SEMANTIC = """p AS (
+  SELECT a.vec_id AS i, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+), replay AS (
+  SELECT 2 * i AS seq, 'entry ' || i AS key, 'miss' AS hit_type, 0::DOUBLE AS similarity FROM p
+  UNION ALL
+  SELECT 2 * i + 1, 'entry ' || i || CASE WHEN i % 3 = 0 THEN '' ELSE ' again' END, CASE i % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'semantic' ELSE 'miss' END,
+    CASE i % 3 WHEN 0 THEN 1 WHEN 1 THEN round(list_cosine_similarity(x, list_transform(range(1, len(x) + 1), lambda k: 0.95::DOUBLE * x[k] + 0.2::DOUBLE * y[k])), 6) ELSE 0 END FROM p
+)"""
+
 ORACLES: dict[str, str] = {
     "tokenize_docs": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)",
     "chunk_paragraphs": f"{_PARAGRAPHS} {_CHUNK_OUT}",
@@ -159,7 +185,9 @@ ORACLES: dict[str, str] = {
     "postings": f"WITH {_UNITS}, {_POSTINGS} SELECT term, unit_id, tf FROM postings",
     "term_df_idf": f"WITH {_UNITS}, {_POSTINGS} SELECT term, df, round({_IDF}, 6) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term) CROSS JOIN corpus",
     "doc_tf_weights": f"WITH {_UNITS}, {_POSTINGS} SELECT term, unit_id, round(1 + ln(tf), 6) AS weight FROM postings",
+    "index_build": f"WITH {_UNITS}, {_POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY term",
     "keyword_search": _single(SINGLE),
+    "keyword_search_texts": _single(SINGLE),
     "keyword_unseen_terms": _single(UNSEEN),
     "keyword_search_batch": f"WITH {_UNITS}, {_ASKED}, {_keyword(10)} {_HITS} keyword",
     "vector_search": f"WITH vectors AS (SELECT vec_id AS unit_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), qvectors AS (SELECT unit_id AS query_id, vector FROM vectors WHERE unit_id = 0), {_vector(10)} {_HITS} near",
@@ -182,10 +210,17 @@ ORACLES: dict[str, str] = {
     "ring_route": f"WITH {_RING}, {_KEYS}, {_routed('ring', 'routed')} SELECT key, node FROM routed",
     "ring_remove_node": f"""WITH {_RING}, {_KEYS}, less AS (SELECT * FROM ring WHERE node <> '{NODES[1]}'), {_routed('ring', 'one')}, {_routed('less', 'two')}
         SELECT one.node AS from_node, two.node AS to_node, count(*) AS keys FROM one JOIN two USING (key) WHERE one.node <> two.node GROUP BY ALL""",
+    "ring_add_node": f"""WITH {_RING}, {_ring([*NODES, 'node-4'], 'more')}, {_KEYS}, {_routed('ring', 'one')}, {_routed('more', 'two')}
+        SELECT one.node AS from_node, two.node AS to_node, count(*) AS keys FROM one JOIN two USING (key) WHERE one.node <> two.node GROUP BY ALL""",
+    "ring_route_large": f"""WITH {_ring([f'node-{i}' for i in range(MANY_NODES)])}, {_KEYS}
+        SELECT key, coalesce(ring.node, (SELECT arg_min(node, vnode_hash) FROM ring)) AS node FROM keys ASOF LEFT JOIN ring ON h <= vnode_hash""",
+    "ring_nodes": f"SELECT unnest({[n for n in NODES if n != NODES[1]]}) AS node",
     "eviction_utility": f"""SELECT event_type || ':' || user_id AS key, count(*) AS accesses,
           round(ln(1 + count(*)) * exp(-0.693147::DOUBLE * ((SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts))) / 1e6 / {HALF_LIFE}::DOUBLE), 6) AS utility
         FROM events GROUP BY key""",
     "ttl_cache_replay": f"WITH {_TTL} SELECT seq, key, hit FROM r",
+    "lru_cache_roomy": f"WITH {_TTL}, {_RING}, {_KEYS}, {_routed('ring', 'routed')} SELECT node, seq, key, hit FROM r JOIN routed USING (key)",
+    "key_recency": "SELECT key, max(event_id) AS last_seq, row_number() OVER (ORDER BY max(event_id) DESC) AS recency FROM (SELECT event_id, event_type || ':' || user_id AS key FROM events) GROUP BY key",
     "cache_stats": f"WITH {_TTL} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*)::DOUBLE, 4) AS hit_rate FROM r",
     "semantic_fifo": f"WITH {_ENTRIES} SELECT vec_id AS entry_id, 'entry ' || vec_id AS key FROM entries",
     "semantic_lookup": f"""WITH {_ENTRIES}, p AS (
@@ -197,10 +232,19 @@ ORACLES: dict[str, str] = {
         ), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 12) DESC, vec_id) = 1)
         SELECT probe_id, CASE WHEN score >= 0.88 THEN vec_id END AS entry_id, round(CASE WHEN score >= 0.88 THEN score ELSE 0 END, 6) AS similarity,
                CASE WHEN score >= 0.88 THEN 'semantic' ELSE 'miss' END AS hit_type FROM best""",
+    "semantic_replay": f"WITH {_SEMANTIC} SELECT 'all' AS scope, seq, hit_type, similarity FROM replay",
+    "semantic_stats": f"""WITH {_SEMANTIC}, t AS (SELECT count(*) FILTER (hit_type = 'miss') AS misses, count(*) FILTER (hit_type <> 'miss') AS hits, count(*) FILTER (hit_type = 'semantic') AS semantic_hits FROM replay
+        ), {_ring(['partition-0', 'partition-1', 'partition-2', 'partition-3'])}, put AS (SELECT key, {_signed('key')} AS h FROM replay WHERE hit_type = 'miss'
+        ), shards AS (SELECT coalesce(ring.node, (SELECT arg_min(node, vnode_hash) FROM ring)) AS node, count(*) AS puts FROM put ASOF LEFT JOIN ring ON h <= vnode_hash GROUP BY ALL
+        ), e AS (SELECT sum(least(64, puts)) AS size, sum(greatest(0, puts - 64)) AS evictions FROM shards)
+        SELECT 'all' AS scope, CAST(size AS BIGINT) AS size, hits, misses, semantic_hits, least(500, misses) AS semantic_entries, CAST(evictions AS BIGINT) AS evictions,
+          CAST(evictions AS BIGINT) AS predictive_evictions, CAST(0 AS BIGINT) AS epoch, CAST(256 AS BIGINT) AS capacity, CAST(4 AS BIGINT) AS num_partitions,
+          CAST(150 AS BIGINT) AS virtual_nodes_per_partition, round(hits / (hits + misses)::DOUBLE, 4) AS hit_rate FROM t CROSS JOIN e""",
     "lcs_length": f"WITH {_lcs('x.text', 'y.text')} SELECT id, lcs FROM lcs",
     "char_similarity": f"WITH {_lcs('lower(x.text)', 'lower(y.text)')} SELECT id, round(lcs / ((la + lb) / 2::DOUBLE), 6) AS similarity FROM lcs JOIN p USING (id)",
     "lcs_align": f"WITH {_REV} SELECT doc_id, old_index, new_index FROM deltas WHERE kind = 'UNCHANGED'",
     "diff_deltas": f"WITH {_REV} SELECT doc_id, kind, old_index, new_index, md5(old_text) AS old_md5, md5(new_text) AS new_md5 FROM deltas",
+    "diff_moves": f"WITH {_MOVES} SELECT doc_id, kind, old_index, new_index, md5(old_text) AS old_md5, md5(new_text) AS new_md5 FROM deltas",
     "diff_summary": f"WITH {_REV} SELECT doc_id, count(*) FILTER (kind = 'ADDED') AS added, count(*) FILTER (kind = 'MODIFIED') AS modified, count(*) FILTER (kind = 'DELETED') AS deleted FROM deltas GROUP BY doc_id",
     "incremental_update": f"WITH {_REV} SELECT doc_id, new_index AS chunk_index, doc_id || '::chunk::' || new_index AS chunk_id, md5(new_text) AS text_md5 FROM deltas WHERE kind <> 'DELETED'",
     "delete_documents": f"""WITH units AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_POSTINGS}
@@ -214,5 +258,23 @@ ORACLES: dict[str, str] = {
           SELECT a.user_id, a.event_id, a.n, a.s, l.left_ + 1 <= 3, CASE WHEN l.left_ + 1 <= 3 THEN l.left_ + 1 ELSE l.left_ END
           FROM r JOIN a ON a.user_id = r.user_id AND a.n = r.n + 1, LATERAL (SELECT greatest(0, r.level - (a.s - r.s) * {LEAK!r}::DOUBLE) AS left_) l
         ) SELECT user_id, event_id, admitted FROM r""",
+    "rate_limit_waiting": f"""WITH RECURSIVE a AS (
+          SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+        ), r AS (
+          SELECT user_id, event_id, n, s AS served, s AS free, s AS last_, 1::DOUBLE AS level FROM a WHERE n = 1
+          UNION ALL
+          SELECT user_id, event_id, n, CASE WHEN ok THEN served END, CASE WHEN ok THEN served ELSE free END,
+                 CASE WHEN ok THEN served WHEN late THEN last_ ELSE begun END, CASE WHEN ok AND served > begun THEN 3 WHEN ok THEN left_ + 1 WHEN late THEN level ELSE left_ END
+          FROM (
+            SELECT *, begun - s > {WAIT} AS late, greatest(begun, begun + (left_ + 1 - 3) / {LEAK!r}::DOUBLE) AS served, NOT late AND served - s <= {WAIT} AS ok FROM (
+              SELECT a.user_id, a.event_id, a.n, a.s, r.free, r.last_, r.level, greatest(a.s, r.free) AS begun, greatest(0, r.level - greatest(0, greatest(a.s, r.free) - r.last_) * {LEAK!r}::DOUBLE) AS left_
+              FROM r JOIN a ON a.user_id = r.user_id AND a.n = r.n + 1))
+        ) SELECT user_id, event_id, served IS NOT NULL AS admitted, round(served, 3) AS admitted_at FROM r""",
+    "answer_queries": "SELECT item_id AS query_id, 'No model is connected. Question: ' || text AS answer, 'echo' AS model_used, false AS cached, CAST(5 AS BIGINT) AS n_sources FROM benchmark",
+    "answer_cached": f"""WITH {_PARAGRAPHS.replace('replace(text, chr(10), chr(10) || chr(10))', 'text')[5:]}, units AS (SELECT chunk_id AS unit_id, chunk_text AS text FROM named), {_ASKED}, {_keyword(3)}, found AS (
+          SELECT query_id, count(*) AS n FROM keyword GROUP BY ALL)
+        SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'kept answer ' || item_id ELSE 'No model is connected. Question: ' || text END AS answer,
+          CASE WHEN item_id % 2 = 0 THEN 'kept-model' ELSE 'echo' END AS model_used, item_id % 2 = 0 AS cached, CASE WHEN item_id % 2 = 0 THEN 1 ELSE coalesce(n, 0) END AS n_sources
+        FROM benchmark LEFT JOIN found ON item_id = query_id""",
     "service_health": "SELECT 'ok' AS status, count(*) AS docs_indexed, CAST(0 AS BIGINT) AS cache_size FROM documents",
 }

@@ -11,6 +11,7 @@ from corvanta.functions import keys, scoring, text
 from corvanta.operators import answers, cache, index, ratelimit, revisions, ring, search, store
 from corvanta.plans import fixtures
 from corvanta.sources.tables import read_table
+from corvanta.workspace import Workspace, is_kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINGLE = "The thing and that of trash in zqxjk"
@@ -19,6 +20,9 @@ NODES = ["node-0", "node-1", "node-2", "node-3"]
 TTL = 86_400.0
 LEAK = 1 / 21_600
 HALF_LIFE = 604_800.0
+#: Seconds that a request may wait, and nodes of a large ring.
+WAIT = 10_800.0
+MANY_NODES = 1000
 
 QUERIES: dict[str, Query] = {}
 
@@ -28,6 +32,32 @@ def query(f: Query) -> Query:
     return f
 
 
+_KEPT: dict[tuple, str] = {}
+
+
+def kept_index(spark: SparkSession, folder: str, name: str, units: DataFrame) -> index.Index:
+    """The index of a corpus, built by the first query that needs it and kept for the session's later ones.
+
+    It is built anew if the documents were written since, or if it was released.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/documents.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, folder, name, changed)
+    if not is_kept(_KEPT.get(key)):
+        ws = Workspace(spark, f"index-{name}")
+        index.write_index(units, ws.path)
+        _KEPT[key] = ws.path
+    return index.read_index(spark, _KEPT[key])
+
+
+def _documents_index(spark, folder):
+    return kept_index(spark, folder, "documents", fixtures.units(spark, folder))
+
+
+def _hybrid_index(spark, folder):
+    return kept_index(spark, folder, "hybrid", fixtures.hybrid_units(spark, folder))
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -74,10 +104,22 @@ def doc_tf_weights(spark, folder):
 
 
 @query
-def keyword_search(spark, folder):
+def index_build(spark, folder):
+    ws = Workspace(spark, "index-build")
+    index.write_index(fixtures.units(spark, folder), ws.path)
+    return index.read_index(spark, ws.path).terms
+
+
+@query
+def keyword_search_texts(spark, folder):
     return rounded(search.keyword_search(fixtures.units(spark, folder), fixtures.one_query(spark, SINGLE), 10), "score")
 
 
+@query
+def keyword_search(spark, folder):
+    return rounded(search.search_index(_documents_index(spark, folder), fixtures.one_query(spark, SINGLE), 10), "score")
+
+
 @query
 def keyword_unseen_terms(spark, folder):
     return rounded(search.keyword_search(fixtures.units(spark, folder), fixtures.one_query(spark, UNSEEN), 10), "score")
@@ -85,7 +127,7 @@ def keyword_unseen_terms(spark, folder):
 
 @query
 def keyword_search_batch(spark, folder):
-    return rounded(search.keyword_search(fixtures.units(spark, folder), fixtures.asked(spark, folder), 10), "score")
+    return rounded(search.search_index(_documents_index(spark, folder), fixtures.asked(spark, folder), 10), "score")
 
 
 @query
@@ -108,27 +150,27 @@ def vector_normalize(spark, folder):
 
 @query
 def hybrid_search(spark, folder):
-    return rounded(search.hybrid_search(fixtures.hybrid_units(spark, folder), fixtures.hybrid_queries(spark, folder), 5), "score")
+    return rounded(search.hybrid_search(fixtures.hybrid_units(spark, folder), fixtures.hybrid_queries(spark, folder), 5, index=_hybrid_index(spark, folder)), "score")
 
 
 @query
 def rrf_fusion(spark, folder):
     units, queries = fixtures.hybrid_units(spark, folder), fixtures.hybrid_queries(spark, folder)
-    words = search.keyword_search(units, queries, 10)
+    words = search.search_index(_hybrid_index(spark, folder), queries, 10)
     near = search.vector_search(units.select(F.col("chunk_id").alias("unit_id"), "vector"), queries, 10)
     return rounded(search.rank_fusion(words, near), "rrf")
 
 
 @query
 def compare_modes(spark, folder):
-    return rounded(search.compare_modes(fixtures.hybrid_units(spark, folder), fixtures.hybrid_queries(spark, folder), 5), "score")
+    return rounded(search.compare_modes(fixtures.hybrid_units(spark, folder), fixtures.hybrid_queries(spark, folder), 5, index=_hybrid_index(spark, folder)), "score")
 
 
 def _hits(spark, folder):
     docs = read_table(spark, folder, "documents")
     chunks = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("chunk_text"))
     queries = fixtures.asked(spark, folder)
-    return answers.hydrate(search.keyword_search(chunks, queries, 5), chunks), queries
+    return answers.hydrate(search.search_index(_documents_index(spark, folder), queries, 5), chunks), queries
 
 
 @query
@@ -175,6 +217,21 @@ def ring_remove_node(spark, folder):
     return ring.moved_keys(_keys(spark, folder), full, ring.remove_node(full, NODES[1]))
 
 
+@query
+def ring_add_node(spark, folder):
+    return ring.moved_keys(_keys(spark, folder), ring.build_ring(spark, NODES), ring.build_ring(spark, [*NODES, "node-4"]))
+
+
+@query
+def ring_route_large(spark, folder):
+    return ring.route(_keys(spark, folder), ring.build_ring(spark, [f"node-{i}" for i in range(MANY_NODES)]))
+
+
+@query
+def ring_nodes(spark, folder):
+    return ring.ring_nodes(ring.remove_node(ring.build_ring(spark, NODES), NODES[1]))
+
+
 @query
 def eviction_utility(spark, folder):
     access = fixtures.accesses(spark, folder)
@@ -200,6 +257,17 @@ def lru_cache_replay(spark, folder):
     return cache.replay_cache(routed, capacity=64, ttl=TTL)
 
 
+@query
+def lru_cache_roomy(spark, folder):
+    routed = ring.route(fixtures.accesses(spark, folder), ring.build_ring(spark, NODES))
+    return cache.replay_cache(routed, capacity=1_000_000, ttl=TTL).select("node", "seq", "key", "hit")
+
+
+@query
+def key_recency(spark, folder):
+    return cache.recency(fixtures.accesses(spark, folder)).withColumn("recency", F.col("recency").cast("long"))
+
+
 @query
 def lru_shard_stats(spark, folder):
     return cache.shard_stats(lru_cache_replay(spark, folder))
@@ -228,10 +296,18 @@ def semantic_lookup(spark, folder):
     return rounded(cache.semantic_lookup(cache.semantic_fifo(_entries(spark, folder)), fixtures.probes(spark, folder)), "similarity")
 
 
+def _replayed(spark, folder):
+    return cache.replay_semantic(fixtures.semantic_log(spark, folder), ttl=3600.0, default_ttl=3600.0)
+
+
 @query
 def semantic_replay(spark, folder):
-    log = _entries(spark, folder).select(F.lit("all").alias("scope"), "seq", F.timestamp_seconds("seq").alias("ts"), "key", "vector")
-    return rounded(cache.replay_semantic(log, ttl=3600.0), "similarity")
+    return rounded(_replayed(spark, folder).select("scope", "seq", "hit_type", "similarity"), "similarity")
+
+
+@query
+def semantic_stats(spark, folder):
+    return cache.semantic_stats(_replayed(spark, folder))
 
 
 @query
@@ -255,6 +331,16 @@ def diff_deltas(spark, folder):
     return revisions.diff_texts(fixtures.revisions(spark, folder)).select("doc_id", "kind", "old_index", "new_index", F.md5("old_text").alias("old_md5"), F.md5("new_text").alias("new_md5"))
 
 
+@query
+def diff_moves(spark, folder):
+    return revisions.diff_texts(fixtures.moves(spark, folder)).select("doc_id", "kind", "old_index", "new_index", F.md5("old_text").alias("old_md5"), F.md5("new_text").alias("new_md5"))
+
+
+@query
+def diff_all_documents(spark, folder):
+    return revisions.diff_texts(fixtures.revisions(spark, folder, distinct=False)).select("doc_id", "kind", "old_index", "new_index", F.md5("old_text").alias("old_md5"), F.md5("new_text").alias("new_md5"))
+
+
 @query
 def diff_summary(spark, folder):
     return revisions.summarize(revisions.diff_texts(fixtures.revisions(spark, folder)))
@@ -270,10 +356,10 @@ def incremental_update(spark, folder):
 
 @query
 def delete_documents(spark, folder):
-    units = fixtures.units(spark, folder)
-    gone = read_table(spark, folder, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("chunk_id")).distinct()
-    left = units.join(gone, "chunk_id", "left_anti")
-    return rounded(index.term_statistics(index.postings(left), index.corpus_size(left)), "idf")
+    docs = read_table(spark, folder, "documents")
+    chunks = docs.select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    left = store.delete(store.Store(docs.select("doc_id", "text"), chunks), read_table(spark, folder, "labels").where("toxic = 1"))
+    return rounded(index.term_statistics(index.postings(left.chunks), index.corpus_size(left.chunks)), "idf")
 
 
 @query
@@ -286,14 +372,45 @@ def rate_limit(spark, folder):
     return ratelimit.rate_limit(read_table(spark, folder, "events"), 3.0, LEAK, "user_id", "event_id").select("user_id", "event_id", "admitted")
 
 
+@query
+def rate_limit_waiting(spark, folder):
+    found = ratelimit.rate_limit(read_table(spark, folder, "events"), 3.0, LEAK, "user_id", "event_id", timeout=WAIT)
+    waited = F.unix_micros("admitted_ts")
+    return found.select("user_id", "event_id", "admitted", F.round(waited / 1e6, 3).alias("admitted_at"))
+
+
 @query
 def service_health(spark, folder):
     docs = read_table(spark, folder, "documents")
     return store.health(store.Store(docs, docs))
 
 
+def _store(spark, folder):
+    """A store of the corpus, kept like an index of it."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    key = (spark.sparkContext.applicationId, folder, "store")
+    if key not in _STORES or not is_kept(_STORES[key][1]):
+        made = store.ingest(documents)
+        ws = Workspace(spark, "index-chunks")
+        index.write_index(made.chunks, ws.path)
+        _STORES[key] = made, ws.path
+    made, path = _STORES[key]
+    return made, index.read_index(spark, path)
+
+
+_STORES: dict[tuple, tuple[store.Store, str]] = {}
+
+
 @query
 def answer_queries(spark, folder):
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
-    found, _ = store.answer(store.ingest(documents), fixtures.asked(spark, folder), "hybrid", 5)
+    kept, words = _store(spark, folder)
+    found, _ = store.answer(kept, fixtures.asked(spark, folder), "hybrid", 5, index=words)
+    return found.select("query_id", "answer", "model_used", "cached", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query
+def answer_cached(spark, folder):
+    kept, words = _store(spark, folder)
+    queries = fixtures.asked(spark, folder)
+    found, _ = store.answer(kept, queries, "keyword", 3, cache=fixtures.answered(queries, "keyword", 3), index=words)
     return found.select("query_id", "answer", "model_used", "cached", F.size("sources").cast("long").alias("n_sources"))

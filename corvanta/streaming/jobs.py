@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from corvanta.operators.index import chunk_documents
+from corvanta.functions.text import document_of, tokenize
+from corvanta.operators.index import Index, chunk_documents, postings
 from corvanta.operators.ratelimit import Bucket
 
 
-def stream_chunks(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_chunks(documents: DataFrame, path: str, checkpoint: str, order: str = "text") -> StreamingQuery:
     """Keep a Parquet table of chunks, one folder for each batch, from a stream of documents (doc_id, text).
 
-    A batch that is run again overwrites its own folder, so each is written once.
-    ``current_chunks`` reads the latest revision of each document.
+    Of a document's revisions in one batch the one with the largest ``order`` counts, a
+    sequence number or a time; revisions of equal order go by their text. A batch that
+    is run again overwrites its own folder, so each is written once. ``current_chunks``
+    reads the latest revision of each document.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        last = batch.select("doc_id", "text").dropDuplicates(["doc_id"])
+        last = batch.groupBy("doc_id").agg(F.max_by("text", F.struct(order, F.coalesce("text", F.lit("")))).alias("text"))
         rows = chunk_documents(last).withColumn("batch", F.lit(number).cast("long"))
         seen = last.select("doc_id", F.lit(number).cast("long").alias("batch"))
         rows.write.mode("overwrite").parquet(f"{path}/chunks/b={number}")
@@ -75,3 +78,31 @@ def stream_ttl_cache(access: DataFrame, ttl: float) -> DataFrame:
 
     rows = access.select("key", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     return rows.groupBy("key").applyInPandasWithState(replay, "key string, seq long, hit boolean", "expires long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_index(documents: DataFrame, path: str, checkpoint: str, order: str = "text") -> StreamingQuery:
+    """Keep postings from a stream of documents (doc_id, text), a folder for each batch, as ``stream_chunks`` keeps chunks.
+
+    A batch's postings are sorted by term. ``current_index`` leaves out those of earlier
+    revisions, so a changed document is removed and added by writing it alone.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("doc_id").agg(F.max_by("text", F.struct(order, F.coalesce("text", F.lit("")))).alias("text"))
+        chunks = chunk_documents(last)
+        found = postings(chunks).withColumns({"doc_id": document_of(F.col("unit_id")), "batch": F.lit(number).cast("long")})
+        found.sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings/b={number}")
+        sizes = chunks.groupBy("doc_id").agg(F.count_if(F.size(tokenize(F.col("chunk_text"))) > 0).alias("units"))
+        seen = last.select("doc_id").join(sizes, "doc_id", "left").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("units", F.lit(0).cast("long")).alias("units"), F.lit(number).cast("long").alias("batch"))
+        seen.write.mode("overwrite").parquet(f"{path}/documents/b={number}")
+
+    return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_index(spark, path: str) -> Index:
+    """The index of each document's latest batch, for ``search_index``. Documents without text are as if deleted."""
+    seen = spark.read.parquet(f"{path}/documents")
+    latest = seen.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max_by("units", "batch").alias("units"))
+    kept = spark.read.parquet(f"{path}/postings").join(latest.select("doc_id", "batch"), ["doc_id", "batch"]).select("term", "unit_id", "tf")
+    terms = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return Index(kept, terms, latest.agg(F.coalesce(F.sum("units"), F.lit(0)).alias("n_units")))

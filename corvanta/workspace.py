@@ -56,6 +56,11 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _MADE.pop())
 
 
+def is_kept(path: str | None) -> bool:
+    """Whether the tables under a workspace's path have not been released."""
+    return path is not None and path in _MADE
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

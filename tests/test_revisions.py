@@ -85,3 +85,35 @@ def test_tables(spark):
     assert [tuple(r) for r in revisions.summarize(found.where("doc_id = 3")).collect()] == [(3, 1, 0, 0)]
     assert revisions.to_upsert(found).count() == 2 and revisions.to_delete(found).count() == 0
     assert revisions.diff_texts(df.limit(0)).count() == 0
+
+
+def plain_deltas(old, new):
+    """What became of each chunk, by the definition and from plain_align."""
+    out, i, j = [], 0, 0
+    for x, y in [*plain_align(tuple(old), tuple(new)), (len(old), len(new))]:
+        free, gone = list(range(j, y)), []
+        for a in range(i, x):
+            like = [b for b in free if 2 * plain_length(old[a].lower(), new[b].lower()) >= 0.55 * (len(old[a]) + len(new[b]))]
+            if like:
+                free.remove(like[0])
+                out.append(("MODIFIED", a, like[0]))
+            else:
+                gone.append(("DELETED", a, None))
+        out += gone + [("ADDED", None, b) for b in free]
+        if x < len(old):
+            out.append(("UNCHANGED", x, y))
+        i, j = x + 1, y + 1
+    return out
+
+
+def test_repeated_moved_and_recased_chunks(spark):
+    pairs = [
+        ("a\n\nb\n\na\n\nb\n\na", "b\n\na\n\na\n\nb"), ("x\n\nx\n\nx", "x"), ("one\n\ntwo\n\nthree", "three\n\none\n\ntwo"), ("Title\n\nsome text", "TITLE\n\nSome Text"),
+        ("p\n\nq\n\np\n\nq", "q\n\np\n\nq\n\np"), ("", "a\n\na"), ("abcdef\n\nuv", "abcdxy\n\nabcdez\n\nuv"),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "doc_id long, old_text string, new_text string")
+    got = {}
+    for r in revisions.diff_texts(df).orderBy("doc_id", "ordinal").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.old_index, r.new_index))
+    split = lambda t: [x for x in t.split("\n\n") if x]
+    assert got == {i: plain_deltas(split(a), split(b)) for i, (a, b) in enumerate(pairs)}

@@ -1,5 +1,8 @@
+import json
 import math
 from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import numpy as np
 import pytest
@@ -96,14 +99,58 @@ def test_index(spark, units):
 
 def test_kept_index(spark, units, tmp_path):
     index.write_index(units, str(tmp_path))
-    kept, size = index.read_index(spark, str(tmp_path))
+    kept = index.read_index(spark, str(tmp_path))
     queries = spark.createDataFrame([(0, "cats milk nothing"), (1, "dogs"), (2, "!")], "query_id long, query string")
     rows = lambda df: sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in df.collect())
-    found = search.search_index(kept, size, queries, 3)
+    found = search.search_index(kept, queries, 3)
     assert rows(found) == rows(search.keyword_search(units, queries, 3))
+    assert {(r.term, r.df) for r in kept.terms.collect()} == {(r.term, r.n) for r in index.postings(units).groupBy("term").count().toDF("term", "n").collect()}
     assert "PushedFilters: [In(term" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_kept_index_of_many_terms(spark, units, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "PUSHED_TERMS", 1)
+    index.write_index(units, str(tmp_path))
+    queries = spark.createDataFrame([(0, "cats milk nothing"), (1, "dogs")], "query_id long, query string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in df.collect())
+    found = search.search_index(index.read_index(spark, str(tmp_path)), queries, 3)
+    assert rows(found) == rows(search.keyword_search(units, queries, 3)) and len(rows(found)) > 2
+
+
+def test_http_generator(spark):
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.reply({"models": [{"name": "small"}, {"name": "broken"}, {}]})
+
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body)
+            self.reply({"response": body["model"] + " says hello"}) if body["model"] != "broken" else self.send_error(500)
+
+        def reply(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert answers.is_reachable(url) and answers.installed_models(url) == ["small", "broken"]
+    models = answers.http_models(url, ["broken", None, "broken"])
+    assert list(models) == ["broken", "small"]
+    prompts = spark.createDataFrame([(1, "why?")], "query_id long, prompt string")
+    assert [tuple(r) for r in answers.generate(prompts, models).collect()] == [(1, "small says hello", "small")]
+    assert asked[-1] == {"model": "small", "prompt": "why?", "stream": False, "options": answers.SAMPLING}
+    server.shutdown()
+    server.server_close()
+    assert not answers.is_reachable(url, 1) and answers.installed_models(url, 1) == [] and answers.http_models(url, ["x"], 1).keys() == {"x"}
+
+
 def test_answers(spark, units):
     hits = spark.createDataFrame([(0, 1, "a", 0.5), (0, 2, "zz", 0.25)], "query_id long, rank long, unit_id string, score double")
     queries = spark.createDataFrame([(0, "why?"), (1, "what?")], "query_id long, query string")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvanta.functions.keys import cache_key
-from corvanta.operators import cache, ratelimit, ring, store
+from corvanta.operators import cache, ratelimit, ring, search, store
 from corvanta.operators.cache import BoundedCache
 from corvanta.operators.ratelimit import Bucket
 from corvanta.streaming import jobs
@@ -44,6 +44,18 @@ def test_ring(spark):
         ring.build_ring(spark, nodes, 0)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_large_ring(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(ring, "BROADCAST_PLACES", 0)
+    for n in (1000, 5000):  # 100,000 places and more
+        places = sorted((hashed(f"n{j}#vnode-{i}"), f"n{j}") for j in range(n) for i in range(100))
+        keys = spark.createDataFrame([(f"k{i}", i) for i in range(400)] + [(None, -1)], "key string, hash int")
+        got = ring.route(keys, ring.build_ring(spark, [f"n{j}" for j in range(n)], 100))
+        assert got.columns == ["key", "hash", "node"]
+        assert {r.key: r.node for r in got.collect()} == {None: None} | {f"k{i}": places[bisect_left(places, (hashed(f"k{i}"), "")) % len(places)][1] for i in range(400)}
+
+
 def test_bounded_cache():
     c = BoundedCache(2, predictive=False)
     assert c.put("a", 1, 0, 10) is None and c.put("b", 2, 0, 0) is None
@@ -169,6 +181,47 @@ def test_semantic(spark):
     assert [r.hit_type for r in cache.replay_semantic(df, ttl=10).orderBy("seq").collect()] == ["miss", "semantic", "exact", "miss", "miss", "miss"]
 
 
+def test_semantic_operations(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    x, near, y = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
+    rows = [
+        ("s", 1, at(0), "put", "a", x, None), ("s", 2, at(1), "ask", "b", near, None), ("s", 3, at(20), "get", "a", None, None), ("s", 4, at(21), "ask", "a", x, None),
+        ("s", 5, at(22), "delete", "a", None, None), ("s", 6, at(23), "ask", "b", near, 5.0), ("s", 7, at(30), "ask", "c", x, 0.0), ("s", 8, at(31), "clear", None, None, None),
+        ("s", 9, at(32), "ask", "c", x, None), ("s", 10, at(33), "ask", "d", None, None), ("s", 11, at(34), "ask", "e", y, None), ("s", 12, at(35), "ask", "f", y, None),
+    ]
+    df = spark.createDataFrame(rows, "scope string, seq long, ts timestamp, op string, key string, vector array<double>, ttl double")
+    replay = cache.replay_semantic(df.repartition(2), capacity=2, default_ttl=10.0, nodes=["p", "q"], shard_capacity=8)
+    got = {r.seq: r for r in replay.collect()}
+    # The shards' entry dies by the default lifetime; the list's has none, and is found though its key is a's own.
+    assert [got[i].hit_type for i in range(1, 13)] == [None, "semantic", "miss", "semantic", None, "miss", "miss", None, "miss", "miss", "miss", "semantic"]
+    assert got[5].semantic_entries == 0 and got[7].semantic_entries == 1 and (got[8].size, got[8].epoch, got[8].hits, got[8].misses) == (0, 1, 0, 0)
+    stats = cache.semantic_stats(replay, ["p", "q"], 8).first()
+    assert (stats.size, stats.hits, stats.misses, stats.semantic_hits, stats.semantic_entries, stats.epoch, stats.capacity, stats.num_partitions, stats.hit_rate) == (3, 1, 3, 1, 2, 1, 16, 2, 0.25)
+    with pytest.raises(Exception, match="no such operation"):
+        cache.replay_semantic(df.withColumn("op", F.lit("peek"))).collect()
+
+
+def test_null_and_long_keys(spark):
+    long_ = 2**60
+    rows = [(None, i, START) for i in range(4)] + [(long_ + i % 2, 10 + i, START) for i in range(6)]
+    got = ratelimit.rate_limit(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), 2.0, 1.0, "user_id", "event_id").collect()
+    assert {r.event_id for r in got if r.admitted} == {0, 1, 10, 11, 12, 13} and {r.user_id for r in got} == {None, long_, long_ + 1}
+
+
+def test_waiting_requests(spark):
+    seconds = [0, 0, 0, 0, 1, 1, 9]
+    rows = [(1, i, START + timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    got = ratelimit.rate_limit(df, 2.0, 1.0, "user_id", "event_id", timeout=2.0).orderBy("event_id").collect()
+    at = [None if r.admitted_ts is None else (r.admitted_ts - START).total_seconds() for r in got]
+    # Two fit at once, two wait for a second each; of those at 1 one waits two seconds, the next would wait for three.
+    assert at == [0, 0, 1, 2, 3, None, 9] and [r.admitted for r in got] == [a is not None for a in at]
+    none = ratelimit.rate_limit(df, 2.0, 1.0, "user_id", "event_id").orderBy("event_id").collect()
+    assert [r.admitted for r in none] == [True, True, False, False, True, False, True]
+    with pytest.raises(ValueError):
+        ratelimit.rate_limit(df, 2.0, 1.0, "user_id", "event_id", timeout=-1.0)
+
+
 def test_bucket():
     b = Bucket(3, 1)
     assert [b.admit(0), b.admit(0), b.admit(0), b.admit(0)] == [True, True, True, False]
@@ -226,6 +279,20 @@ def test_stream_of_documents(spark, tmp_path):
     assert sorted((r.chunk_id, r.chunk_text) for r in jobs.current_chunks(spark, f"{tmp_path}/out").collect()) == [("a::chunk::0", "three"), ("b::chunk::0", "x")]
 
 
+def test_stream_of_an_index(spark, tmp_path):
+    schema = "doc_id string, seq long, text string"
+    spark.createDataFrame([("a", 1, "warm milk\n\ncats"), ("a", 0, "zebra old"), ("b", 1, "dogs and cats"), ("c", 1, "gone soon")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    run = lambda: jobs.stream_index(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/c", "seq").awaitTermination()
+    run()
+    spark.createDataFrame([("b", 2, "cold milk"), ("c", 2, None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    run()
+    kept = jobs.current_index(spark, f"{tmp_path}/out")
+    queries = spark.createDataFrame([(0, "cats milk zebra"), (1, "gone")], "query_id long, query string")
+    chunks = spark.createDataFrame([("a::chunk::0", "warm milk"), ("a::chunk::1", "cats"), ("b::chunk::0", "cold milk")], "chunk_id string, chunk_text string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in df.collect())
+    assert rows(search.search_index(kept, queries)) == rows(search.keyword_search(chunks, queries)) and kept.corpus.first().n_units == 3
+
+
 def test_store(spark):
     docs = spark.createDataFrame([("a", "one\n\ntwo\n\nthree"), ("b", "alpha beta"), (" ", "x"), ("c", " \n"), (None, "y")], "doc_id string, text string")
     assert store.rejected(docs).count() == 3
@@ -250,7 +317,14 @@ def test_answer_with_cache(spark):
     got = {r.query_id: r for r in plain.collect()}
     assert none is None and set(got) == {1, 2} and got[1].sources[0].doc_id == "a" and got[2].sources[0].chunk_text == "dogs chew bones" and not got[1].cached
     key = spark.range(1).select(cache_key(F.lit("who drinks milk"), F.lit("hybrid"), F.lit(1)).alias("k")).first().k
-    entries = store.embed(spark.createDataFrame([(1, "e1", key, "who drinks milk", "cats")], "seq long, entry_id string, key string, q string, answer string"), "q")
+    kept = [(1, "e1", key, "who drinks milk", "cats", "m", [("a", "cats drink milk", 0.5, "hybrid")])]
+    schema = f"seq long, entry_id string, key string, q string, answer string, model_used string, sources {store.SOURCES}"
+    entries = store.embed(spark.createDataFrame(kept, schema), "q")
     cached, new = store.answer(s, queries, "hybrid", 1, cache=entries)
-    got = {r.query_id: (r.answer, r.cached) for r in cached.collect()}
-    assert got[1] == ("cats", True) and not got[2][1] and new.count() == 1
+    got = {r.query_id: r for r in cached.collect()}
+    assert (got[1].answer, got[1].cached, got[1].model_used, got[1].sources[0].doc_id) == ("cats", True, "m", "a") and not got[2].cached
+    added = new.collect()
+    assert len(added) == 1 and added[0].model_used == "echo" and added[0].sources[0].chunk_text == "dogs chew bones"
+    # Another number of hits is another key: the entry is found by its vector.
+    like, _ = store.answer(s, queries.where("query_id = 1"), "hybrid", 2, cache=entries)
+    assert [(r.answer, r.model_used) for r in like.collect()] == [("cats", "m (semantic: 100%)")]
