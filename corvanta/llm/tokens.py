@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -55,3 +56,30 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     if len(words) == 0:
         return words
     return window_hashes(words, tuple(range(min(k, len(words)))))
+
+
+def shingle_blocks(texts: Iterable[tuple[Any, bytes]], k: int, words: int = 1 << 20) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(marks, shingles, starts) of texts with their marks, in blocks of about ``words`` words or one longer text.
+
+    Shingles of all texts of a block lie end to end, those of text i from starts[i] to
+    starts[i + 1]; a text of fewer than k words has none.
+    """
+    marks, held, count = [], [], 0
+    for mark, text in texts:
+        marks.append(mark)
+        held.append(word_hashes(ascii_words(text)))
+        count += len(held[-1])
+        if count >= words:
+            yield marks, *_shingle_block(held, k)
+            marks, held, count = [], [], 0
+    if marks:
+        yield marks, *_shingle_block(held, k)
+
+
+def _shingle_block(held: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(x) for x in held], dtype=np.int64)
+    sizes = np.maximum(0, lengths - k + 1)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    first = np.cumsum(lengths) - lengths
+    own = window_hashes(np.concatenate(held), tuple(range(k)))
+    return own[np.repeat(first - starts[:-1], sizes) + np.arange(starts[-1])], starts
