@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvanta.functions.keys import fresh_name
+
+__all__ = ["WORD", "byte_count", "fresh_name", "random_key", "word_count"]
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,11 +27,3 @@ def random_key(column: Column, seed: int) -> Column:
     """60 pseudo-random bits of a value, the same in any SQL engine that has MD5."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-def fresh_name(taken: list[str], wanted: str) -> str:
-    """``wanted``, lengthened by underscores until no column of ``taken`` has that name."""
-    lower = {x.lower() for x in taken}
-    while wanted.lower() in lower:
-        wanted += "_"
-    return wanted

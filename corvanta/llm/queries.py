@@ -37,7 +37,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxicity_score").alias("score"),
         (F.col("toxicity_score") >= TOXIC_FROM).cast("int").alias("predicted"),
         F.size("toxicity_sentences").cast("long").alias("n_sentences"),
-        F.get("toxicity_sentences", F.lit(0))["start"].alias("first_start"),
+        F.transform("toxicity_sentences", lambda x: F.struct(x["start"], x["end"])).alias("sentences"),
     )
 
 
@@ -47,7 +47,7 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
-    return near_vectors(read_table(spark, folder, "embeddings"), least=0.95)
+    return near_vectors(read_table(spark, folder, "embeddings"), least=0.95).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op8_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
 def op9_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     model = train_forest(invented_findings(spark))
     found = scan_secrets(read_table(spark, folder, "documents"), model, path="source")
-    return found.select("doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("length"), "places", "score", "is_secret")
+    return found.select("doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").cast("long").alias("length"), "score", "is_secret")
 
 
 def op10_shard_groups(spark: SparkSession, folder: str) -> DataFrame:

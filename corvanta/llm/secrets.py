@@ -76,33 +76,49 @@ def with_features(findings: DataFrame) -> DataFrame:
     )
 
 
+def _is_candidate(run: Column) -> Column:
+    return (F.length(run) >= 16) & ((run.rlike("[0-9]") & run.rlike("[A-Za-z]")) | run.rlike("^(" + "|".join(PREFIXES) + ")"))
+
+
+def _before(pieces: Column, found: Column, k: Column, back: int) -> Column:
+    """The NEAR characters before match ``k`` of a text that is cut into ``pieces`` at matches ``found``, of which at most ``back`` others fit there."""
+    tail = lambda x: F.coalesce(F.right(x, F.lit(NEAR)), F.lit(""))
+    parts = [tail(F.get(pieces, k))]
+    for n in range(1, back + 1):
+        parts += [tail(F.get(found, k - n)), tail(F.get(pieces, k - n))]
+    return F.right(F.concat(*reversed(parts)), F.lit(NEAR))
+
+
 def find_candidates(df: DataFrame, text: str = "text", row_id: str = "doc_id", path: str | None = None) -> DataFrame:
-    """A row for each distinct candidate of each row: doc_id, candidate, before, path, places.
+    """A row for each place of a candidate in each row: doc_id, place, candidate, before, path.
 
     A candidate has 16 or more token characters, a digit and a letter among them or a
     known prefix; or 6 or more of any kind, assigned to a name with a secret word.
-    ``before`` are the characters before its first place, ``places`` how often it
-    stands in the text. Null and empty texts have none; repeated rows have theirs each.
+    ``place`` numbers a text's candidates, those that are only assigned values last;
+    ``before`` are the characters before it there, so that each place is judged by its
+    own neighbours. Null and empty texts have none; repeated rows have theirs each. Texts
+    are read to their end, and a candidate takes its neighbours with it, not its text.
     """
     t = F.col("t")
     rows = df.select(F.col(row_id).alias("doc_id"), F.col(text).alias("t"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"))
-    known = "^(" + "|".join(PREFIXES) + ")"
-    found = F.filter(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda x: (x.rlike("[0-9]") & x.rlike("[A-Za-z]")) | x.rlike(known))
-    pairs = F.zip_with(F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(0)), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(1)), lambda w, v: F.struct(w.alias("whole"), v.alias("value")))
-    rows = rows.withColumn("found", found).withColumn("assigned", F.filter(pairs, lambda x: ~F.array_contains("found", x["value"])))
-    rows = rows.withColumn("all", F.concat("found", F.transform("assigned", lambda x: x["value"]))).where(F.size("all") > 0)
-    each = rows.select("doc_id", "t", "path", "all", "assigned", F.explode(F.array_distinct("all")).alias("candidate"))
-    # An assigned value can stand in other words before: its place is that of the assignment.
-    whole = F.coalesce(F.get(F.filter("assigned", lambda x: x["value"] == F.col("candidate")), F.lit(0))["whole"], F.col("candidate"))
-    each = each.withColumn("whole", whole)
-    name = F.expr("left(whole, length(whole) - length(candidate))")
-    return each.select(
-        "doc_id",
-        "candidate",
-        F.right(F.concat(F.split_part(t, F.col("whole"), F.lit(1)), name), F.lit(NEAR)).alias("before"),
-        "path",
-        F.size(F.filter("all", lambda x: x == F.col("candidate"))).cast("long").alias("places"),
-    )
+    rows = rows.withColumns({"runs": F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), "assigned": F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(0))})
+    rows = rows.where(F.exists("runs", _is_candidate) | (F.size("assigned") > 0))
+    # Matches have 16 and 10 characters or more, with one between.
+    rows = rows.withColumns({"between": F.split(t, CANDIDATE, -1), "apart": F.when(F.size("assigned") > 0, F.split(t, ASSIGNED, -1))})
+    at = lambda pieces, found, back: lambda x, k: F.struct(x.alias("match"), _before(F.col(pieces), F.col(found), k, back).alias("before"))
+    long_ = F.filter(F.transform("runs", at("between", "runs", 3)), lambda x: _is_candidate(x["match"]))
+    long_ = F.transform(long_, lambda x: F.struct(x["match"].alias("candidate"), x["before"]))
+
+    def value_of(x: Column) -> Column:
+        value = F.regexp_extract(x["match"], ASSIGNED, 1)
+        name = F.left(x["match"], F.length(x["match"]) - F.length(value))
+        return F.struct(value.alias("candidate"), F.right(F.concat(x["before"], name), F.lit(NEAR)).alias("before"))
+
+    short = F.transform(F.transform("assigned", at("apart", "assigned", 5)), value_of)
+    # A value that is a run of its own is there already.
+    short = F.filter(short, lambda x: ~(_is_candidate(x["candidate"]) & F.right(x["before"], F.lit(1)).rlike("[^A-Za-z0-9+/_=.~-]")))
+    each = rows.select("doc_id", "path", F.posexplode(F.concat(long_, F.coalesce(short, F.array().cast("array<struct<candidate:string,before:string>>")))).alias("place", "c"))
+    return each.select("doc_id", F.col("place").cast("long").alias("place"), "c.candidate", "c.before", "path")
 
 
 def invented_findings(spark: SparkSession, rows: int = 6000, seed: int = 0) -> DataFrame:
@@ -130,6 +146,7 @@ def invented_findings(spark: SparkSession, rows: int = 6000, seed: int = 0) -> D
         (F.concat(F.lit("AKIA"), F.upper(F.substring(plain, 1, 16))), F.concat(word("w"), F.lit(" "))),
         (F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)), F.concat(word("w"), assign)),
         (F.concat(F.lit("sk_live_"), F.substring(plain, 1, 24)), F.concat(word("w"), assign)),
+        (stretch(plain, 8, 14), F.concat(name, pick((' = "', "=", ": ", ': "'), "a"))),
     ]
     others = [
         (F.substring(digest, 1, 40), F.concat(word("w"), F.lit(" "), harmless)),
@@ -140,6 +157,7 @@ def invented_findings(spark: SparkSession, rows: int = 6000, seed: int = 0) -> D
         (F.concat(F.repeat(F.substring(digest, 1, 1), 16), F.lit("0x")), secret_before),
         (F.concat_ws("/", F.lit("www.site" ), word("1"), word("2"), F.concat(word("3"), F.substring(digest, 1, 2))), F.lit("http://")),
         (stretch(code, 40, 80), F.lit("data:image/png;base64,")),
+        (F.concat(word("1"), pick(("", "_", "."), "j"), word("2")), F.concat(name, pick((' = "', "=", ": ", ': "'), "a"))),
     ]
     path = pick(("src/main.py", "config/settings.yaml", "deploy/env", "app/server.js", "README"), "p")
     bad_path = pick(("tests/test_main.py", "docs/guide.md", "package-lock.json", "src/main.py", "README"), "p")
@@ -150,7 +168,11 @@ def invented_findings(spark: SparkSession, rows: int = 6000, seed: int = 0) -> D
 
 
 def train_forest(findings: DataFrame, trees: int = 40, depth: int = 8, sample: int = 50_000, seed: int = 7) -> PipelineModel:
-    """A forest of ``findings`` (candidate, before, path, label 0 or 1), of at most ``sample`` of them by hash."""
+    """A forest of ``findings`` (candidate, before, path, label 0 or 1), of at most ``sample`` of them by hash.
+
+    Any table of labelled findings will do; keep a share of its own out to measure with.
+    Rows without a candidate or a label are left out.
+    """
     order = F.xxhash64("candidate", "before", "path")
     rows = with_features(findings.where(F.col("label").isin(0, 1) & F.col("candidate").isNotNull()).orderBy(order, "candidate").limit(sample))
     rows = rows.select(*FEATURES, F.col("label").cast("double").alias("label")).coalesce(1)
@@ -159,11 +181,13 @@ def train_forest(findings: DataFrame, trees: int = 40, depth: int = 8, sample: i
 
 
 def scan_secrets(df: DataFrame, model: PipelineModel, text: str = "text", row_id: str = "doc_id", path: str | None = None, least: float = 0.5) -> DataFrame:
-    """Candidates of ``df`` with the forest's score: doc_id, candidate, before, path, places, score, is_secret.
+    """Candidates of ``df`` with the forest's score: doc_id, place, candidate, before, path, score, is_secret.
 
-    Those below ``least`` stay in the result with is_secret false. An empty table gives
-    an empty result. Columns other than text, id and path are not read.
+    Those below ``least`` stay in the result with is_secret false. Null texts and ids,
+    repeated rows and very long texts are as ``find_candidates`` has them; a null path is
+    an empty one. An empty table gives an empty result. Columns other than text, id and
+    path are not read.
     """
     scored = model.transform(with_features(find_candidates(df, text, row_id, path)))
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "candidate", "before", "path", "places", score.alias("score"), (score >= least).alias("is_secret"))
+    return scored.select("doc_id", "place", "candidate", "before", "path", score.alias("score"), (score >= least).alias("is_secret"))

@@ -79,6 +79,38 @@ SELECT s.doc_id, s.n AS n_shingles, r.component_id FROM sizes s JOIN (SELECT doc
 """
 
 
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), usable AS (
+  SELECT vec_id, x FROM v WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.q FROM reach JOIN links ON links.p = reach.other
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), degrees AS (SELECT p AS vec_id, count(*) AS n FROM links GROUP BY p)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN degrees USING (vec_id)
+"""
+
+OVERLAPS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), items AS (SELECT item_id, w, len(w) AS n, least(13, (80 * len(w) + 99) // 100) AS need FROM i WHERE len(w) >= 5
+), dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d
+), iw AS (SELECT item_id, need, n, unnest(w) AS word, unnest(range(len(w))) AS p FROM items
+), lines AS (
+  SELECT doc_id, item_id, n, need, dw.p - iw.p AS shift, list(iw.p ORDER BY iw.p) AS ps FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= need
+), begun AS (SELECT *, unnest(range(1, len(ps) + 1)) AS a FROM lines
+), stretches AS (
+  SELECT doc_id, item_id, n, need, shift, ps[a] AS s, unnest(ps[a:]) AS e, unnest(range(1, len(ps) - a + 2)) AS hits FROM begun
+), best AS (
+  SELECT * FROM stretches WHERE hits >= need AND 100 * hits >= 80 * (e - s + 1)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY hits DESC, shift, e - s, s) = 1
+)
+SELECT doc_id, item_id, CAST(s + shift AS BIGINT) AS text_start, CAST(s AS BIGINT) AS item_start, CAST(e - s + 1 AS BIGINT) AS overlap_words, CAST(hits AS BIGINT) AS matching_words, CAST(n AS BIGINT) AS item_words FROM best
+"""
+
+
 def _licenses() -> str:
     known = ", ".join(f"('{digest}', '{scope}', '{license_}')" for digest, scope, license_, _ in known_texts())
     spelled = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS.items())
@@ -98,4 +130,11 @@ SELECT doc_id, scope, line, license, digest FROM digests JOIN known USING (diges
 """
 
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX, "op5_license_digests": _licenses(), "op7_ngram_join": NGRAM, "op8_warc_packages": WARC}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": MIX,
+    "op3_vector_graph": VECTORS,
+    "op4_decontamination": OVERLAPS,
+    "op5_license_digests": _licenses(),
+    "op7_ngram_join": NGRAM,
+    "op8_warc_packages": WARC,
+}
