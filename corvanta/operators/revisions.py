@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,28 +167,26 @@ DELTA_SCHEMA = "ordinal long, kind string, old_index long, new_index long, old_t
 def diff_chunks(revisions: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """Deltas of ``revisions`` (doc_id, old_chunks, new_chunks), numbered by ``ordinal`` in a document.
 
-    Revisions with equal chunks are all UNCHANGED, without a call into Python.
+    Each row is read once: a filter for equal revisions would cut texts into chunks a
+    second time. Null lists are empty ones.
     """
     checked_least(least)
     rows = revisions.select("doc_id", "old_chunks", "new_chunks")
-    same = rows.where("old_chunks = new_chunks").select("doc_id", F.posexplode("old_chunks").alias("at", "chunk"))
-    at = F.col("at").cast("long")
-    same = same.select("doc_id", at.alias("ordinal"), F.lit("UNCHANGED").alias("kind"), at.alias("old_index"), at.alias("new_index"), F.col("chunk").alias("old_text"), F.col("chunk").alias("new_text"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", *(x.strip().split()[0] for x in DELTA_SCHEMA.split(","))]
-        for part in parts:
-            out = [
-                (doc, n, *delta)
-                for doc, old, new in zip(part["doc_id"], part["old_chunks"], part["new_chunks"], strict=True)
-                for n, delta in enumerate(deltas(list(old), list(new), least))
-            ]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"old_index": "Int64", "new_index": "Int64"})
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    other = rows.where("not (old_chunks = new_chunks)").mapInPandas(run, f"doc_id {kind}, {DELTA_SCHEMA}")
-    return same.unionByName(other)
+    names = ["doc_id", *(x.strip().split()[0] for x in DELTA_SCHEMA.split(","))]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for row, (old, new) in enumerate(zip(batch.column("old_chunks").to_pylist(), batch.column("new_chunks").to_pylist(), strict=True)):
+                old, new = old or [], new or []
+                found = [Delta("UNCHANGED", i, i, x, x) for i, x in enumerate(old)] if old == new else deltas(old, new, least)
+                at += [row] * len(found)
+                out += [(n, *delta) for n, delta in enumerate(found)]
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {DELTA_SCHEMA}")
 
 
 def diff_texts(revisions: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
