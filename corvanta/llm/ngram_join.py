@@ -339,6 +339,7 @@ def ngram_classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
     least = known.groupBy("set").agg(F.min("doc_id").alias("least"))
     classes = least.join(joined, least["set"] == joined["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     names = ws.save(classes, "classes")
+    ws.drop("candidates-2", "members", "wanted", "links")
     tops = names.groupBy("component").agg(F.min("least").alias("component_id"))
     named_sets = names.join(tops, "component").select("set", F.col("component").alias("class"), "component_id")
     out = ("doc_id", F.col("n").alias("n_shingles"), "component_id", "content", "class")
