@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def tokens_of(text: bytes) -> list[bytes]:
+    """What ``tokenize`` gives for a text in UTF-8."""
+    lower = text.lower()
+    if not lower.isascii():
+        # Of all other letters, these two have a-z in their lower case.
+        lower = lower.replace("\u212a".encode(), b"k").replace("\u0130".encode(), "i\u0307".encode())
+    return re.findall(TOKEN.encode(), lower)
+
+
 def strip(text: Column) -> Column:
     """The text without Unicode blanks at its ends."""
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")

@@ -6,7 +6,9 @@ from threading import Thread
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corvanta.functions.text import tokenize, tokens_of
 from corvanta.operators import answers, index, search, store
 
 DOCS = [("a", "cats like warm milk and warm beds"), ("b", "dogs like bones"), ("c", "milk milk milk"), ("d", "!!"), ("e", None), ("f", "cats and dogs")]
@@ -170,3 +172,37 @@ def test_answers(spark, units):
     with pytest.raises(ValueError):
         answers.generate(prompts, {}, ["none"])
     assert answers.candidate_models(["b", None, "a"], ["a", "c"]) == ["b", "a", "c"]
+
+
+def test_tokens_outside_spark(spark):
+    texts = ["", "A bc 42", "café CAFÉ", "Kelvin İstanbul xİ", "a_bc-D9", "ＡＢ ǅab ẞSS", "naïveİK9"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tokenize(F.col("t"))).collect()
+    assert [[x.decode() for x in tokens_of(t.encode())] for t in texts] == [r[0] for r in got]
+
+
+def test_postings_shuffle_nothing_unless_ids_repeat(spark):
+    units = spark.createDataFrame([("a", "warm milk milk"), ("b", None), ("c", "!")], "chunk_id string, chunk_text string")
+    assert "Exchange" not in index.postings(units)._jdf.queryExecution().executedPlan().toString()
+    again = units.unionByName(spark.createDataFrame([("a", "milk"), (None, "cold"), (None, "cold milk")], units.schema))
+    assert {(r.term, r.unit_id): r.tf for r in index.postings(again).collect()} == {("warm", "a"): 1, ("milk", "a"): 3, ("cold", None): 2, ("milk", None): 1}
+
+
+def test_segments(spark, tmp_path, monkeypatch):
+    words = ["cat", "dog", "milk", "warm", "cold", "bird"]
+    units = spark.createDataFrame([(f"u{i}", " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 5))) for i in range(60)], "chunk_id string, chunk_text string")
+    queries = spark.createDataFrame([(i, f"{words[i % 6]} {words[(i + 2) % 6]} nothing") for i in range(8)] + [(9, "?")], "query_id int, query string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in df.collect())
+    for name, size in ((index, "SEGMENT"), (search, "SENT_TERMS"), (search, "SCORED")):
+        monkeypatch.setattr(name, size, 3)
+    index.write_index(units, str(tmp_path / "one"))
+    kept = index.read_index(spark, str(tmp_path / "one"))
+    assert kept.segments.select("segment").distinct().count() > 10
+    found = rows(search.search_index(kept, queries, 4))
+    assert found == rows(search.keyword_search(units, queries, 4)) and len(found) == 32
+    assert sorted(map(tuple, kept.postings.collect())) == sorted(map(tuple, index.postings(units).collect()))
+    # Rows that share an id are one unit, and cannot be in two segments.
+    twice = units.unionByName(units.limit(7))
+    index.write_index(twice, str(tmp_path / "two"))
+    kept = index.read_index(spark, str(tmp_path / "two"))
+    assert kept.segments is None
+    assert sorted(map(tuple, kept.postings.collect())) == sorted(map(tuple, index.postings(twice).collect()))
