@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvanta.workspace import Workspace, small_enough
+
 # The wording of prompts.
 NO_CONTEXT = "(no context found)"
 INSTRUCTION = (
@@ -21,8 +23,15 @@ Generator = Callable[[str], str]
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with the text of their chunks, empty where there is none: + doc_id, chunk_text."""
+    """Hits with the text of their chunks, empty where there is none: + doc_id, chunk_text.
+
+    Hits are written first: what they name is sent to all tasks, unless it is much, so
+    that no other text is shuffled.
+    """
+    hits = Workspace(hits.sparkSession, "hits").save(hits, "hits")
+    named = hits.select("unit_id").distinct()
     known = chunks.select(F.col("chunk_id").alias("unit_id"), F.col("doc_id").cast("string").alias("doc_id"), "chunk_text")
+    known = known.join(F.broadcast(named) if small_enough(named) else named, "unit_id", "left_semi")
     joined = hits.join(known, "unit_id", "left")
     return joined.withColumn("chunk_text", F.coalesce("chunk_text", F.lit("")))
 

@@ -217,3 +217,11 @@ def test_vectors_are_compared_in_parts(spark, monkeypatch):
     scores = (units @ units.T).round(12)
     wanted = {(q, n + 1, int(u)) for q in range(40) for n, u in enumerate(np.lexsort((np.arange(40), -scores[q]))[:3])}
     assert {(r.query_id, r["rank"], r.unit_id) for r in found} == wanted
+
+
+def test_texts_that_are_not_hits_stay_where_they_are(spark):
+    hits = spark.createDataFrame([(0, 1, "a", 0.5), (0, 2, "gone", 0.4)], "query_id long, rank long, unit_id string, score double")
+    chunks = spark.range(1000).selectExpr("'d' as doc_id", "if(id = 7, 'a', cast(id as string)) as chunk_id", "concat('text ', id) as chunk_text")
+    found = answers.hydrate(hits, chunks)
+    assert sorted((r.unit_id, r.doc_id, r.chunk_text) for r in found.collect()) == [("a", "d", "text 7"), ("gone", None, "")]
+    assert "LeftSemi, BuildRight" in found._jdf.queryExecution().executedPlan().toString()
