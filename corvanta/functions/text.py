@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All Unicode blanks, as a class of a regular expression; then the same without LF.
+# All Unicode blanks, as a class of a regular expression and as they are.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-BLANK_IN_LINE = r"[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # A token, a header line, and what parts paragraphs.
 TOKEN = "[a-z0-9]{2,}"
 HEADER = rf"(?md)^#{{1,6}}{BLANK}"
@@ -33,7 +33,7 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 def strip(text: Column) -> Column:
     """The text without Unicode blanks at its ends."""
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -43,7 +43,8 @@ def is_blank(text: Column) -> Column:
 
 def normalize_lines(text: Column) -> Column:
     """LF for CRLF, and no blanks at the ends of lines."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), rf"{BLANK_IN_LINE}+(?=\n|\z)", "")
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    return F.array_join(F.transform(lines, lambda x: F.rtrim(x, F.lit(BLANKS.replace("\n", "")))), "\n")
 
 
 def chunk_text(text: Column) -> Column:
@@ -52,10 +53,13 @@ def chunk_text(text: Column) -> Column:
     What precedes the first header is a chunk of its own. Chunks are stripped, empty
     ones left out; a null has none.
     """
-    lines = normalize_lines(text)
-    parts = F.when(lines.rlike(HEADER), F.split(lines, rf"(?md)(?=^#{{1,6}}{BLANK})", -1)).otherwise(F.split(lines, PARAGRAPH, -1))
-    chunks = F.filter(F.transform(parts, strip), lambda x: x != "")
-    return F.coalesce(chunks, F.array().cast("array<string>"))
+
+    def chunks(lines: Column) -> Column:
+        parts = F.when(lines.rlike(HEADER), F.split(lines, rf"(?md)(?=^#{{1,6}}{BLANK})", -1)).otherwise(F.split(lines, PARAGRAPH, -1))
+        return F.filter(F.transform(parts, strip), lambda x: x != "")
+
+    # In an array of one, the lines are made once for all that reads them.
+    return F.coalesce(F.element_at(F.transform(F.array(normalize_lines(text)), chunks), 1), F.array().cast("array<string>"))
 
 
 def chunk_id(doc_id: Column, index: Column) -> Column:

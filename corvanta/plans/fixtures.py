@@ -43,7 +43,8 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, lines): the stripped lines of documents, without blank ones."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), strip), lambda x: x != "")
-    return read_table(spark, folder, "documents").select("doc_id", lines.alias("lines"))
+    # Exploded from an array of one, they are not made anew for each condition on them.
+    return read_table(spark, folder, "documents").select("doc_id", F.explode(F.array(lines)).alias("lines"))
 
 
 def _are_distinct(*columns: str):

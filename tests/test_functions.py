@@ -83,3 +83,10 @@ def test_utility_and_rate(spark):
     got = values(spark, [(1, 300.0), (7, -5.0)], "n long, s double", keys.eviction_utility(F.col("n"), F.col("s")))
     assert [x[0] for x in got] == pytest.approx([math.log(2) * math.exp(-0.693147), math.log(8)])
     assert values(spark, [(0, 0), (1, 2)], "h long, m long", keys.hit_rate(F.col("h"), F.col("m"))) == [(0.0,), (0.3333,)]
+
+
+def test_lines_are_trimmed_without_regular_expressions(spark):
+    texts = spark.createDataFrame([("\u3000 a \t\r\n\x1f\n\n b\u2003c \x85\n \u1680",), (" \n",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(text.chunk_text(F.col("t"))).collect()] == [["a", "b\u2003c"], [], [], []]
+    plan = texts.select(text.chunk_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("replace(t#") == 1

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corvanta.plans import fixtures
 from corvanta.operators import revisions
 from corvanta.operators.revisions import align, common_length, deltas, similarity
 
@@ -117,3 +118,8 @@ def test_repeated_moved_and_recased_chunks(spark):
         got.setdefault(r.doc_id, []).append((r.kind, r.old_index, r.new_index))
     split = lambda t: [x for x in t.split("\n\n") if x]
     assert got == {i: plain_deltas(split(a), split(b)) for i, (a, b) in enumerate(pairs)}
+
+
+def test_lines_of_revisions_are_made_once(spark):
+    plan = fixtures.moves(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
