@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +35,21 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
     import re
     import zlib
 
-    out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-    for i, text in enumerate(texts):
-        for word in re.findall(r"[a-z0-9]{2,}", text.lower()):
-            h = zlib.crc32(word.encode())
-            out[i, h % DIMENSIONS] += 1 if h >> 16 & 1 else -1
+    places: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        """The word's dimension, and beyond all of them if it counts against."""
+        h = zlib.crc32(word.encode())
+        return places.setdefault(word, h % DIMENSIONS + (0 if h >> 16 & 1 else DIMENSIONS))
+
+    known, at, sizes = places.get, [], []
+    for text in texts:
+        words = re.findall(r"[a-z0-9]{2,}", text.lower())
+        sizes.append(len(words))
+        at += [p if (p := known(word)) is not None else place(word) for word in words]
+    rows = np.repeat(np.arange(len(texts)) * 2 * DIMENSIONS, sizes)
+    counts = np.bincount(rows + np.array(at, dtype=np.int64), minlength=len(texts) * 2 * DIMENSIONS).reshape(len(texts), 2, DIMENSIONS)
+    out = (counts[:, 0] - counts[:, 1]).astype(np.float32)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(length > 0, out / np.where(length > 0, length, 1), out)
 
@@ -47,14 +57,17 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
 def embed(rows: DataFrame, text: str, embedder: Embedder = hashing_embedder, dimensions: int = DIMENSIONS) -> DataFrame:
     """``rows`` with column ``vector``: the first ``dimensions`` of a text's embedding at length 1, batch by batch."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x = np.asarray(embedder(part[text].tolist()), dtype=np.float32)[:, :dimensions] if len(part) else np.zeros((0, dimensions), np.float32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(embedder(batch.column(text).to_pylist()), dtype=np.float32)[:, :dimensions] if batch.num_rows else np.zeros((0, dimensions), np.float32)
             length = np.linalg.norm(x, axis=1, keepdims=True)
-            yield part.assign(vector=list(np.where(length > 0, x / np.where(length > 0, length, 1), x)))
+            x = np.where(length > 0, x / np.where(length > 0, length, 1), x)
+            ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])
+            own = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "vector"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{fields}, vector array<float>")
+    return rows.mapInArrow(run, f"{fields}, vector array<float>")
 
 
 def rejected(documents: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 from bisect import bisect_left
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -328,3 +329,15 @@ def test_answer_with_cache(spark):
     # Another number of hits is another key: the entry is found by its vector.
     like, _ = store.answer(s, queries.where("query_id = 1"), "hybrid", 2, cache=entries)
     assert [(r.answer, r.model_used) for r in like.collect()] == [("cats", "m (semantic: 100%)")]
+
+
+def test_embed_counts_words_and_passes_columns(spark):
+    texts = ["warm milk warm", "", "A b"]
+    rows = spark.createDataFrame([(i, [t], t) for i, t in enumerate(texts)], "id int, parts array<string>, t string")
+    found = store.embed(rows, "t")
+    assert "ArrowEvalPython" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" in plan
+    got = {r.id: r for r in found.collect()}
+    one = store.hashing_embedder(["warm"])[0]
+    assert [got[i].parts for i in range(3)] == [[t] for t in texts] and set(got[1].vector) == {0.0}
+    both = 2 * one + store.hashing_embedder(["milk"])[0]
+    assert got[0].vector == pytest.approx((both / np.linalg.norm(both)).tolist(), abs=1e-6)
