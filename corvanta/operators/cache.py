@@ -239,7 +239,8 @@ class SemanticCache:
             for i in range(virtual_nodes):
                 places.setdefault(_place(f"{node}{PLACE_MARK}{i}"), node)
         self.places = sorted(places.items())
-        self.near: list[tuple[Any, Any, float]] = []  # key, unit vector, end of life
+        self.near: list[tuple[Any, float]] = []  # key, end of life; their unit vectors are the first rows
+        self.rows: Any = None
         self.hits = self.misses = self.semantic_hits = self.epoch = 0
 
     def shard(self, key: str) -> BoundedCache:
@@ -257,10 +258,9 @@ class SemanticCache:
             return "exact", 1.0
         own = _unit(vector)
         if own is not None and self.near:
-            self.near = [e for e in self.near if now <= e[2]]
+            self._keep([now <= end for _, end in self.near])
             if self.near:
-                similar = np.stack([e[1] for e in self.near]) @ own
-                best = float(similar[int(np.argmax(similar))])
+                best = float((self.rows[: len(self.near)] @ own).max())
                 if best >= self.least:
                     self._count(True)
                     self.semantic_hits += 1
@@ -272,14 +272,23 @@ class SemanticCache:
         self.shard(key).put(key, True, now, self.default_ttl if ttl is None else ttl)
         own = _unit(vector)
         if own is not None:
+            if self.rows is None:
+                self.rows = np.empty((self.semantic_capacity, len(own)))
             if len(self.near) >= self.semantic_capacity:
-                self.near.pop(0)
-            self.near.append((key, own, now + ttl if ttl is not None and ttl > 0 else math.inf))
+                self._keep([False] + [True] * (len(self.near) - 1))
+            self.rows[len(self.near)] = own
+            self.near.append((key, now + ttl if ttl is not None and ttl > 0 else math.inf))
 
     def delete(self, key: str) -> bool:
-        self.near = [e for e in self.near if e[0] != key]
+        self._keep([e[0] != key for e in self.near])
         return self.shard(key).delete(key)
 
+    def _keep(self, which: list[bool]) -> None:
+        if not all(which):
+            at = np.flatnonzero(which)
+            self.rows[: len(at)] = self.rows[at]
+            self.near = [self.near[i] for i in at]
+
     def clear(self) -> None:
         """Drop all entries and counts of hits and misses; those of evictions stay, and an epoch begins."""
         for shard in self.shards.values():

@@ -341,3 +341,20 @@ def test_embed_counts_words_and_passes_columns(spark):
     assert [got[i].parts for i in range(3)] == [[t] for t in texts] and set(got[1].vector) == {0.0}
     both = 2 * one + store.hashing_embedder(["milk"])[0]
     assert got[0].vector == pytest.approx((both / np.linalg.norm(both)).tolist(), abs=1e-6)
+
+
+def test_entries_of_a_semantic_cache_lie_in_one_matrix():
+    rng = np.random.default_rng(3)
+    made = cache.SemanticCache(["a"], 64, None, 0.9, 5, True, 10)
+    vectors, live = rng.normal(size=(40, 6)), []
+    for i, v in enumerate(vectors):
+        near = max((float(x / np.linalg.norm(x) @ v / np.linalg.norm(v)) for _, x, end in live if i <= end), default=-1.0)
+        kind, similarity = made.get_like(f"new {i}", v, float(i))
+        assert (kind == "semantic") == (near >= 0.9) and (kind == "miss" or similarity == pytest.approx(near))
+        life = 3.0 if i % 4 == 0 else None
+        made.put(f"k{i}", float(i), life, v if i % 3 else vectors[0])
+        live = [e for e in live if i <= e[2]][-4:] + [(f"k{i}", v if i % 3 else vectors[0], i + life if life else math.inf)]
+        if i % 7 == 6:
+            made.delete(f"k{i}")
+            live = live[:-1]
+        assert len(made.near) == len(live) and made.rows.shape[0] == 5
